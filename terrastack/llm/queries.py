@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrastack.llm.mixing import SQL as MIXING_SQL
+import terrastack.packaging  # noqa: F401  functions travel by value
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +21,58 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, tau=4)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrastack.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrastack.llm.itq import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrastack.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), least=0.3)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrastack.llm.pii import digest, personal_data
+
+    return digest(personal_data(_table(spark, sf_dir, "documents")))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrastack.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrastack.llm.mixing import with_copies
+
+    out = with_copies(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrastack.llm.hilbert import sharded
+
+    return sharded(_table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_mixing": op4_mixing,
+    "op6_hilbert": op6_hilbert,
+    "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
+    "op10_itq": op10_itq,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": MIXING_SQL}
