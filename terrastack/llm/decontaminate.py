@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+from terrastack.llm.staging import staged
 from terrastack.llm.textkit import buffer, ngrams, runs_of_rows, word_hashes, words
 
 #: Bytes of test items that are broadcast at a time; a larger benchmark is searched in several passes.
@@ -185,5 +186,5 @@ def _search(texts: DataFrame, items: Items, n: int, least: float, rare: float, f
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a test item; those with a null doc_id stay."""
-    found = contaminated(docs, benchmark, **options).select("doc_id").distinct()
+    found = staged(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastack.llm.mixing import SQL as MIXING_SQL
 import terrastack.packaging  # noqa: F401  functions travel by value
+from terrastack.llm.mixing import SQL as MIXING_SQL
+from terrastack.llm.url_filter import SQL as URL_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are dated by their id and the list is made from their hosts: the tables hold neither."""
+    from terrastack.llm.url_filter import filtered, sample_list
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    return filtered(pages.withColumn("fetched", fetched), sample_list(pages))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrastack.llm.simhash import near_duplicates
 
@@ -65,14 +75,22 @@ def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrastack.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
+    "op5_html": op5_html,
     "op6_hilbert": op6_hilbert,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_itq": op10_itq,
 }
-ORACLES: dict[str, str] = {"op4_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": URL_SQL, "op4_mixing": MIXING_SQL}

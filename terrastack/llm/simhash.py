@@ -292,3 +292,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, extra: int
     parents = connected_components(linked_fingerprints(nodes, tau, extra, verify_most))
     known = nodes.join(parents, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(known, names, "left").select(id_col, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 12, extra: int = 3) -> DataFrame:
+    """``docs`` with one row (the smallest doc_id) of each group of near-duplicates.
+
+    A pair is probed within ``tau`` of 64 bits and verified over ``1 + extra`` fingerprints of independent hashes:
+    shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of differing bits estimates j;
+    the pair must look at least as similar as ``similarity``, with one standard deviation in its favour. Of rows
+    that repeat a doc_id one stays; rows with a null doc_id all stay.
+    """
+    bits = 64 * (1 + extra)
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most = int(bits * share + np.sqrt(bits * share * (1 - share)))
+    found = staged(near_duplicates(docs, shingle, tau, extra, most).select("doc_id", "component_id"), "groups")
+    gone = staged(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    twice = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    left = docs.join(gone, "doc_id", "left_anti")
+    if not twice.isEmpty():
+        left = left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*docs.columns)
