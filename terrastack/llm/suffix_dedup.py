@@ -34,7 +34,7 @@ from terrastack.llm.textkit import BASE, buffer, mixed, powers, runs_of_rows
 #: Bytes of text hashed at a time; positions within fit into 20 bits.
 BLOCK = 1 << 20
 #: Sampled suffixes or windows that a task folds before it sends them on.
-FOLD = 2_000_000
+FOLD = 500_000
 #: Bits of the largest class filter: 32 MB. Fuller filters only let more windows into pass 2.
 FILTER_BITS = 28
 
@@ -156,7 +156,8 @@ class Hashed:
         count = np.diff(np.append(first, len(chosen)))
         start, p = inside[first], chosen[first]
         block = self.of(start, start + count + length - 1)
-        return h[p], mixed(block * BASE + ((p - start) * 256 + count).astype(np.uint64)), start, count
+        # the smallest of many hashes lie near zero: mixed anew, their ranges are even
+        return mixed(h[p] * BASE), mixed(block * BASE + ((p - start) * 256 + count).astype(np.uint64)), start, count
 
 
 def stretches(batch: pa.RecordBatch, length: int) -> Iterator[tuple[Hashed, np.ndarray, np.ndarray, np.ndarray]]:
