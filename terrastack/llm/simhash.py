@@ -76,8 +76,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, count: int = 1, id_col: str
 # ---------------------------------------------------------------- partitions and thresholds
 
 
-def co_occurrence(prints: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of rows and how often each two bits are both set, over all rows of ``f0``; 64 sums per task."""
+def co_occurrence(prints: DataFrame, name: str = "f0") -> tuple[int, np.ndarray]:
+    """Number of rows and how often each two bits are both set, over all rows of a fingerprint; 64 sums per task."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((64, 64)), 0
@@ -88,7 +88,7 @@ def co_occurrence(prints: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([float(n)] * 64), pa.array(list(total))], names=["bit", "n", "together"])
 
-    parts = prints.select("f0").mapInArrow(of, "bit long, n double, together array<double>")
+    parts = prints.select(name).mapInArrow(of, "bit long, n double, together array<double>")
     rows = parts.groupBy("bit").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("together")[j]) for j in range(64))).alias("together")).collect()
     together = np.zeros((64, 64))
     for r in rows:
@@ -164,10 +164,10 @@ def plan(tau: int, n: int, together: np.ndarray) -> list[tuple[list[int], int]]:
 # ---------------------------------------------------------------- probing
 
 
-def keys_of(f: np.ndarray, parts: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(f: np.ndarray, parts: list[tuple[list[int], int]], first: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys of fingerprints: for each partition its value, and with one bit flipped where the threshold is 2."""
     keys, index = [], []
-    for number, (bits, t) in enumerate(parts):
+    for number, (bits, t) in enumerate(parts, first):
         value = np.zeros(len(f), np.uint64)
         for place, b in enumerate(bits):
             value |= ((f >> np.uint64(b)) & np.uint64(1)) << np.uint64(place)
@@ -183,13 +183,18 @@ def mix_key(value: np.ndarray, number: int) -> np.ndarray:
     return value ^ (np.uint64(number) << np.uint64(59))
 
 
-def forest(f: np.ndarray, tau: int, verify: np.ndarray | None = None, verify_most: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (from, to as indices) of the links among distinct fingerprints of one bucket.
+def apart(f: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Differing bits of each word (rows x words)."""
+    return np.bitwise_count(f ^ x)
 
-    Breadth first; what has been reached is compared no more, so a tight group of g costs about g comparisons.
+
+def forest(f: np.ndarray, tau: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (from, to as indices) of the links among the fingerprints (rows x words) of one bucket.
+
+    A link is within ``tau`` in some word and within ``most`` over all words. Breadth first; what has been reached is
+    compared no more, so a tight group of g costs about g comparisons.
     """
-    n = len(f)
-    todo = np.arange(n)
+    todo = np.arange(len(f))
     a, b = [], []
     while len(todo):
         frontier, todo = todo[:1], todo[1:]
@@ -198,11 +203,12 @@ def forest(f: np.ndarray, tau: int, verify: np.ndarray | None = None, verify_mos
             for x in frontier:
                 if not len(todo):
                     break
-                near = np.bitwise_count(f[todo] ^ f[x]) <= tau
-                if verify is not None and near.any():
-                    at = np.flatnonzero(near)
-                    apart = np.bitwise_count(verify[todo[at]] ^ verify[x]).sum(axis=1, dtype=np.int64) + np.bitwise_count(f[todo[at]] ^ f[x])
-                    near[at[apart > verify_most]] = False
+                bits = apart(f[todo], f[x])
+                near = bits[:, 0] <= tau
+                for w in range(1, f.shape[1]):
+                    near |= bits[:, w] <= tau
+                if most is not None and near.any():
+                    near &= bits.sum(axis=1, dtype=np.int64) <= most
                 if near.any():
                     hit = todo[near]
                     a.append(np.full(len(hit), x))
@@ -215,24 +221,23 @@ def forest(f: np.ndarray, tau: int, verify: np.ndarray | None = None, verify_mos
     return np.concatenate(a), np.concatenate(b)
 
 
-def linked_fingerprints(nodes: DataFrame, tau: int, extra: int = 0, verify_most: int = 0) -> DataFrame:
+def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` between node ids that connect all links of ``nodes(node, f0, ..)``, fingerprints distinct.
 
-    ``extra`` further 64-bit fingerprints ``f1..`` verify a candidate: over all bits together at most
-    ``verify_most`` may differ.
+    Every one of the ``count`` fingerprints is probed within ``tau`` bits; a candidate is a link if all its bits
+    together differ in ``most`` at most.
     """
-    n, together = co_occurrence(nodes)
-    parts = plan(tau, n, together)
-    more = [f"f{i + 1}" for i in range(extra)]
-    schema = "key long, node long, f0 long" + "".join(f", {x} long" for x in more)
+    names = [f"f{i}" for i in range(count)]
+    plans = [plan(tau, *co_occurrence(nodes, name)) for name in names]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 cols = [part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(part.num_columns)]
-                keys, index = keys_of(cols[1].view(np.uint64), parts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[index]) for c in cols)], names=["key", "node", "f0", *more])
+                for word, parts in enumerate(plans):
+                    keys, index = keys_of(cols[1 + word].view(np.uint64), parts, 12 * word)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[index]) for c in cols)], names=["key", "node", *names])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -241,7 +246,7 @@ def linked_fingerprints(nodes: DataFrame, tau: int, extra: int = 0, verify_most:
             if not len(rows):
                 continue
             rows = np.concatenate([*held, rows]) if held else rows
-            last = np.searchsorted(rows[:, 0], rows[-1, 0], side="left")
+            last = int(np.argmax(rows[:, 0] == rows[-1, 0]))
             held = [rows[last:]]
             if last:
                 yield from buckets(rows[:last])
@@ -251,61 +256,67 @@ def linked_fingerprints(nodes: DataFrame, tau: int, extra: int = 0, verify_most:
     def buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(rows)]))
-        f = rows[:, 2].view(np.int64).astype(np.int64).view(np.uint64)
-        verify = np.ascontiguousarray(rows[:, 3:]).view(np.uint64) if extra else None
+        f = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
         a, b = [], []
-        two = np.flatnonzero(ends - starts == 2)  # most buckets that hold more than one row
-        x, y = starts[two], starts[two] + 1
-        apart = np.bitwise_count(f[x] ^ f[y]).astype(np.int64)
-        near = apart <= tau
-        if verify is not None:
-            near &= apart + np.bitwise_count(verify[x] ^ verify[y]).sum(axis=1, dtype=np.int64) <= verify_most
-        a.append(rows[x[near], 1])
-        b.append(rows[y[near], 1])
-        for i in np.flatnonzero(ends - starts > 2):
-            s, e = starts[i], ends[i]
-            u, v = forest(f[s:e], tau, None if verify is None else verify[s:e], verify_most)
+        # small buckets together, all their pairs: rows d apart
+        size = ends - starts
+        end_of, at = np.repeat(ends, size), np.flatnonzero(np.repeat((size > 1) & (size <= 16), size))
+        for d in range(1, 16):
+            at = at[at + d < end_of[at]]
+            if not len(at):
+                break
+            bits = apart(f[at], f[at + d])
+            near = (bits <= tau).any(axis=1)
+            if most is not None:
+                near &= bits.sum(axis=1, dtype=np.int64) <= most
+            a.append(rows[at[near], 1])
+            b.append(rows[at[near] + d, 1])
+        for i in np.flatnonzero(size > 16):
+            u, v = forest(f[starts[i] : ends[i]], tau, most)
             if len(u):
-                a.append(rows[s:e, 1][u])
-                b.append(rows[s:e, 1][v])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
+                own = rows[starts[i] : ends[i], 1]
+                a.append(own[u])
+                b.append(own[v])
+        if sum(map(len, a)):
+            a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    rows = nodes.select("node", "f0", *more).mapInArrow(probe, schema)
+    schema = "key long, node long, " + ", ".join(f"{x} long" for x in names)
+    rows = nodes.select("node", *names).mapInArrow(probe, schema)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, extra: int = 0, verify_most: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int = 1, most: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased; shingles are ``shingle`` words joined by one
     space (a shorter text is one shingle; one without words, or null, has fingerprint zero and links like any other).
     Fingerprints that differ in at most ``tau`` bits link; ``component_id`` is the smallest id reachable, itself
-    included. With ``extra`` > 0 a link must also hold over that many further fingerprints. Repeated rows give
+    included. With ``count`` > 1 each of that many fingerprints is probed, and a link differs in ``most`` bits of all
+    together. Repeated rows give
     repeated results; an empty table an empty one; a null id takes part but is never the smallest of a group with
     other ids. Other columns of ``docs`` are ignored.
     """
-    names = [f"f{i}" for i in range(1 + extra)]
-    prints = staged(fingerprints(docs, shingle, 1 + extra, id_col, text_col), "prints")
+    names = [f"f{i}" for i in range(count)]
+    prints = staged(fingerprints(docs, shingle, count, id_col, text_col), "prints")
     nodes = staged(prints.groupBy(*names).agg(F.min(id_col).alias("node")).where("node is not null"), "nodes")
-    parents = connected_components(linked_fingerprints(nodes, tau, extra, verify_most))
+    parents = connected_components(linked_fingerprints(nodes, tau, count, most))
     known = nodes.join(parents, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(known, names, "left").select(id_col, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 12, extra: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 10, count: int = 3) -> DataFrame:
     """``docs`` with one row (the smallest doc_id) of each group of near-duplicates.
 
-    A pair is probed within ``tau`` of 64 bits and verified over ``1 + extra`` fingerprints of independent hashes:
-    shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of differing bits estimates j;
-    the pair must look at least as similar as ``similarity``, with one standard deviation in its favour. Of rows
-    that repeat a doc_id one stays; rows with a null doc_id all stay.
+    Three fingerprints of independent hashes are probed, each within ``tau`` of its 64 bits, and candidates are verified
+    over all bits: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of
+    differing bits estimates j. A pair must look as similar as ``similarity``, with one and a half standard deviations
+    in its favour. Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
     """
-    bits = 64 * (1 + extra)
+    bits = 64 * count
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most = int(bits * share + np.sqrt(bits * share * (1 - share)))
-    found = staged(near_duplicates(docs, shingle, tau, extra, most).select("doc_id", "component_id"), "groups")
+    most = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+    found = staged(near_duplicates(docs, shingle, tau, count, most).select("doc_id", "component_id"), "groups")
     gone = staged(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
     twice = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     left = docs.join(gone, "doc_id", "left_anti")
