@@ -100,7 +100,7 @@ class Tagger:
             grads |= {"x" + d: gx, "u" + d: gu, "c" + d: gb}
         return float((z - score).mean()), grads
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 260, batch: int = 48, rate: float = 0.02, seed: int = 0) -> float:
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 420, batch: int = 48, rate: float = 0.02, seed: int = 0) -> float:
         """Adam over batches drawn with a fixed seed; returns the last loss."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}

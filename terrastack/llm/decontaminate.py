@@ -114,7 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
     """``(doc_id, item_id, score, start_word)``: documents that hold a test item, edited ones included.
 
     Words are runs of letters and digits, lower-cased. Seeds are an item's n-grams unless they are common: in more
-    than ``rare`` of all documents and in over 4 times as many as the item's median n-gram (so an item that leaked into
+    than ``rare`` of all documents and in over 4 times as many as the median of the item's n-grams that occur at all (so an item that leaked into
     very many documents keeps its seeds). Around every seed shared with a document the item is aligned with the
     document's words; ``score`` is the best alignment score as a share of the item's words, ``least`` or more.
     Document frequencies count all documents, and whole texts are searched. Items of fewer than ``fewest`` words, or
@@ -168,7 +168,8 @@ def _search(texts: DataFrame, items: Items, n: int, least: float, rare: float, f
     own = frequency[np.searchsorted(grams, items.gram)]
     median = np.zeros(len(items.ids))
     for i in np.unique(items.item):
-        median[i] = np.median(own[items.item == i])
+        seen = own[(items.item == i) & (own > 0)]
+        median[i] = np.median(seen) if len(seen) else 0
     chosen = items.keep((own <= rare * corpus) | (own <= 4 * median[items.item]))
     sent = context.broadcast((chosen.ids, chosen.first, chosen.word, chosen.gram, chosen.item, chosen.at))
 

@@ -135,7 +135,7 @@ def tagged(examples: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndarr
     return x, y
 
 
-def train(docs: DataFrame, most: int = 4000, examples: int = 1500, seed: int = 7) -> Tagger:
+def train(docs: DataFrame, most: int = 4000, examples: int = 2000, seed: int = 7) -> Tagger:
     """Fit on labelled spans: base spans of about ``most`` documents (smallest hashes of their ids) and made-up ones."""
     n = max(docs.count(), 1)
 
