@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def solar_day(instant: Column, lon: Column) -> Column:
     """Date of an instant at a longitude: shifted by whole hours of lon / 15, cut towards zero."""
-    return F.to_date(instant + F.make_dt_interval(hours=F.expr("0") + (lon / 15).cast("int")))
+    return F.to_date(instant + F.make_dt_interval(F.lit(0), (lon / 15).cast("int")))
 
 
 def item_instant(dt_: Column, start: Column, end: Column) -> Column:
