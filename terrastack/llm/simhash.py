@@ -188,10 +188,10 @@ def apart(f: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f ^ x)
 
 
-def forest(f: np.ndarray, tau: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(f: np.ndarray, tau: int, most: int | None = None, probed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (from, to as indices) of the links among the fingerprints (rows x words) of one bucket.
 
-    A link is within ``tau`` in some word and within ``most`` over all words. Breadth first; what has been reached is
+    A link is within ``tau`` in one of the first ``probed`` words and within ``most`` over all words. Breadth first; what has been reached is
     compared no more, so a tight group of g costs about g comparisons.
     """
     todo = np.arange(len(f))
@@ -205,7 +205,7 @@ def forest(f: np.ndarray, tau: int, most: int | None = None) -> tuple[np.ndarray
                     break
                 bits = apart(f[todo], f[x])
                 near = bits[:, 0] <= tau
-                for w in range(1, f.shape[1]):
+                for w in range(1, probed or f.shape[1]):
                     near |= bits[:, w] <= tau
                 if most is not None and near.any():
                     near &= bits.sum(axis=1, dtype=np.int64) <= most
@@ -221,14 +221,14 @@ def forest(f: np.ndarray, tau: int, most: int | None = None) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int | None = None) -> DataFrame:
+def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int | None = None, probed: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` between node ids that connect all links of ``nodes(node, f0, ..)``, fingerprints distinct.
 
-    Every one of the ``count`` fingerprints is probed within ``tau`` bits; a candidate is a link if all its bits
-    together differ in ``most`` at most.
+    The first ``probed`` of ``count`` fingerprints (all by default) are probed within ``tau`` bits; a candidate is a
+    link if all its bits together differ in ``most`` at most.
     """
-    names = [f"f{i}" for i in range(count)]
-    plans = [plan(tau, *co_occurrence(nodes, name)) for name in names]
+    names, probed = [f"f{i}" for i in range(count)], probed or count
+    plans = [plan(tau, *co_occurrence(nodes, name)) for name in names[:probed]]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,13 +266,13 @@ def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int |
             if not len(at):
                 break
             bits = apart(f[at], f[at + d])
-            near = (bits <= tau).any(axis=1)
+            near = (bits[:, :probed] <= tau).any(axis=1)
             if most is not None:
                 near &= bits.sum(axis=1, dtype=np.int64) <= most
             a.append(rows[at[near], 1])
             b.append(rows[at[near] + d, 1])
         for i in np.flatnonzero(size > 16):
-            u, v = forest(f[starts[i] : ends[i]], tau, most)
+            u, v = forest(f[starts[i] : ends[i]], tau, most, probed)
             if len(u):
                 own = rows[starts[i] : ends[i], 1]
                 a.append(own[u])
@@ -286,37 +286,37 @@ def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int |
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int = 1, most: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int = 1, most: int | None = None, probed: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased; shingles are ``shingle`` words joined by one
     space (a shorter text is one shingle; one without words, or null, has fingerprint zero and links like any other).
     Fingerprints that differ in at most ``tau`` bits link; ``component_id`` is the smallest id reachable, itself
-    included. With ``count`` > 1 each of that many fingerprints is probed, and a link differs in ``most`` bits of all
-    together. Repeated rows give
+    included. With ``count`` > 1 the first ``probed`` of that many fingerprints are probed, and a link differs in ``most``
+    bits of all together. Repeated rows give
     repeated results; an empty table an empty one; a null id takes part but is never the smallest of a group with
     other ids. Other columns of ``docs`` are ignored.
     """
     names = [f"f{i}" for i in range(count)]
     prints = staged(fingerprints(docs, shingle, count, id_col, text_col), "prints")
     nodes = staged(prints.groupBy(*names).agg(F.min(id_col).alias("node")).where("node is not null"), "nodes")
-    parents = connected_components(linked_fingerprints(nodes, tau, count, most))
+    parents = connected_components(linked_fingerprints(nodes, tau, count, most, probed))
     known = nodes.join(parents, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(known, names, "left").select(id_col, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 10, count: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 12, count: int = 3, probed: int = 2) -> DataFrame:
     """``docs`` with one row (the smallest doc_id) of each group of near-duplicates.
 
-    Three fingerprints of independent hashes are probed, each within ``tau`` of its 64 bits, and candidates are verified
-    over all bits: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of
+    Two of three fingerprints of independent hashes are probed, each within ``tau`` of its 64 bits, and candidates are
+    verified over all bits: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of
     differing bits estimates j. A pair must look as similar as ``similarity``, with one and a half standard deviations
     in its favour. Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
     """
     bits = 64 * count
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
-    found = staged(near_duplicates(docs, shingle, tau, count, most).select("doc_id", "component_id"), "groups")
+    found = staged(near_duplicates(docs, shingle, tau, count, most, probed).select("doc_id", "component_id"), "groups")
     gone = staged(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
     twice = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     left = docs.join(gone, "doc_id", "left_anti")
