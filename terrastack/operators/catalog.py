@@ -94,17 +94,19 @@ def resolve_collection(source: str, collection: str, first: dt.date | None, last
 def route(ranges: DataFrame, gaps: DataFrame) -> DataFrame:
     """``ranges(.., source, collection, first, last)`` with ``routed`` and ``outcome``.
 
-    The same rule over tables: each range against the few gaps of its collection, in order of their days.
+    The same rule over tables: the few gaps of a collection are one array beside each range, so ranges aren't shuffled
+    and repeated ones stay. The first gap by day that a range overlaps decides.
     """
-    g = gaps.select(*(F.col(c).alias(f"g_{c}") for c in ("source", "collection", "gap_start", "gap_end", "fallback", "confirm")))
-    hit = (F.col("source") == F.col("g_source")) & (F.col("collection") == F.col("g_collection")) & (F.coalesce(F.col("last") >= F.col("g_gap_start"), F.lit(True))) & (F.coalesce(F.col("first") <= F.col("g_gap_end"), F.lit(True)))
-    inside = (F.col("first") >= F.col("g_gap_start")) & (F.col("last") <= F.col("g_gap_end")) & F.col("g_fallback").isNotNull()
-    outcome = F.when(F.col("g_source").isNull(), "kept").when(~F.coalesce(inside, F.lit(False)), "refused").when(F.col("g_confirm"), "needs acceptance").otherwise("fallback")
-    ids = ranges.columns
-    joined = ranges.join(F.broadcast(g), hit, "left").withColumn("outcome", outcome)
-    first = joined.groupBy(*ids).agg(F.min_by(F.struct("outcome", "g_fallback"), F.coalesce("g_gap_start", F.lit("1900-01-01").cast("date"))).alias("x"))
-    routed = F.when(F.col("x.outcome").isin("fallback", "needs acceptance"), F.col("x.g_fallback")).when(F.col("x.outcome") == "kept", F.col("collection"))
-    return first.select(*ids, routed.alias("routed"), F.col("x.outcome").alias("outcome"))
+    known = gaps.groupBy("source", "collection").agg(F.sort_array(F.collect_list(F.struct("gap_start", "gap_end", "fallback", "confirm"))).alias("_gaps"))
+    joined = ranges.join(known, ["source", "collection"], "left")
+    first, last = F.col("first"), F.col("last")
+    overlaps = lambda g: F.coalesce(last >= g["gap_start"], F.lit(True)) & F.coalesce(first <= g["gap_end"], F.lit(True))
+    hit = joined.withColumn("_gap", F.get(F.filter("_gaps", overlaps), F.lit(0)))
+    gap = F.col("_gap")
+    inside = F.coalesce((first >= gap["gap_start"]) & (last <= gap["gap_end"]) & gap["fallback"].isNotNull(), F.lit(False))
+    outcome = F.when(gap.isNull(), "kept").when(~inside, "refused").when(gap["confirm"], "needs acceptance").otherwise("fallback")
+    routed = F.when(outcome == "kept", F.col("collection")).when(outcome != "refused", gap["fallback"])
+    return hit.select(*ranges.columns, routed.alias("routed"), outcome.alias("outcome"))
 
 
 def gap_table(spark: SparkSession) -> DataFrame:

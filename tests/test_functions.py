@@ -185,6 +185,28 @@ def test_bricks_equal_long_form(spark):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
+def test_dense_bricks_equal_long_form(spark):
+    from terrastack.operators import bricks
+
+    obs = spark.range(40 * 33 * 5).select(F.lit(1).alias("epsg"), F.expr("cast(id div 5 div 33 as int)").alias("y"), F.expr("cast(id div 5 % 33 as int)").alias("x"), (F.col("id") % 5).alias("pos"), F.expr("cast(hash(id) & 2047 as int)").alias("red"), F.when(F.expr("hash(id, 1) % 10") < 0, 9).otherwise(4).alias("scl"))
+    for method in ("median", "mean", "min", "max"):
+        dense = bricks.composite(bricks.from_pixels(obs, ["red"], "scl", 16), ["red"], "scl", composite.SCENE_MASK, method=method)
+        got = {(r.y, r.x): r.red for r in bricks.to_pixels(dense, ["red"], 16).where("y < 40 and x < 33").collect()}
+        want = composite.mosaic(obs, ["red"], {"red": 0}, "scl", composite.SCENE_MASK, method, fuse=False).collect()
+        assert len(got) == 40 * 33
+        for r in want:
+            assert (got[r.y, r.x] is None) == (r.red is None) and (r.red is None or abs(got[r.y, r.x] - r.red) < 1e-3)
+
+
+def test_network_sorts():
+    from terrastack.operators import bricks
+
+    rng = np.random.default_rng(0)
+    for n in range(1, 40):
+        v = rng.integers(0, 9, (n, 70)).astype(np.float32)
+        assert (bricks.sorted_lanes(v.copy()) == np.sort(v, axis=0)).all()
+
+
 def test_footprints(spark):
     rows = [("good", 0.0, 0.95, 49.0), ("sun", 5.0, 0.95, 49.0), ("dull", -10.0, 0.5, 49.0), ("tall", -10.0, 0.95, 81.0)]
     shots = spark.createDataFrame(rows, "id string, solar_elevation double, sensitivity double, h double").withColumn("rh", F.array_repeat("h", 101))
