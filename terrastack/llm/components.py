@@ -8,12 +8,29 @@ shared folder, so a lost executor costs the current round at most.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrastack.llm.staging import staged
 
 
+def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each of n nodes."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _to_roots(hooks: DataFrame) -> DataFrame:
     """``hooks(a, b)`` with b < a to ``(a, b)`` with b the end of each chain; every step halves the chains."""
     jump = staged(hooks, "hooks")

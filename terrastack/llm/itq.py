@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrastack.llm.components import connected_components
+from terrastack.llm.components import connected_components, local_components
 from terrastack.llm.staging import staged
 
 PIECE = 8
@@ -51,22 +51,6 @@ def unit_vectors(column: pa.Array, size: int) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n nodes."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def close_pairs(starts: np.ndarray, ends: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (u < v) of rows of one bucket with cosine of ``least`` or more; rows of a bucket lie from start to end."""
     us, vs, size = [], [], ends - starts

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrastack.llm.components import connected_components
+from terrastack.llm.components import connected_components, local_components
 from terrastack.llm.staging import staged
 from terrastack.llm.textkit import buffer
 
@@ -221,6 +221,22 @@ def forest(f: np.ndarray, tau: int, most: int | None = None, probed: int | None
     return np.concatenate(a), np.concatenate(b)
 
 
+def dense(f: np.ndarray, tau: int, most: int | None = None, probed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a bucket of moderate size as stars of its components: all pairs at once, as a matrix."""
+    near = np.bitwise_count(f[:, 0][:, None] ^ f[:, 0]) <= tau
+    for w in range(1, probed or f.shape[1]):
+        near |= np.bitwise_count(f[:, w][:, None] ^ f[:, w]) <= tau
+    u, v = np.nonzero(np.triu(near, 1))
+    if most is not None and len(u):
+        ok = apart(f[u], f[v]).sum(axis=1, dtype=np.int64) <= most
+        u, v = u[ok], v[ok]
+    if not len(u):
+        return u, v
+    root = local_components(len(f), u, v)
+    member = np.flatnonzero(root != np.arange(len(f)))
+    return root[member], member
+
+
 def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int | None = None, probed: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` between node ids that connect all links of ``nodes(node, f0, ..)``, fingerprints distinct.
 
@@ -272,7 +288,7 @@ def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int |
             a.append(rows[at[near], 1])
             b.append(rows[at[near] + d, 1])
         for i in np.flatnonzero(size > 16):
-            u, v = forest(f[starts[i] : ends[i]], tau, most, probed)
+            u, v = (dense if size[i] <= 1024 else forest)(f[starts[i] : ends[i]], tau, most, probed)
             if len(u):
                 own = rows[starts[i] : ends[i], 1]
                 a.append(own[u])

@@ -74,6 +74,8 @@ def test_forest_spans_the_links():
     links = [(a, b) for a in range(300) for b in range(a) if int(f[a] ^ f[b]).bit_count() <= 3]
     u, v = simhash.forest(f[:, None], 3)
     assert brute_components(300, links) == brute_components(300, list(zip(u.tolist(), v.tolist())))
+    u, v = simhash.dense(f[:, None], 3)
+    assert brute_components(300, links) == brute_components(300, list(zip(u.tolist(), v.tolist()))) and len(u) < 300
 
 
 def test_keep_one_of_each(spark, docs, texts, empty):
