@@ -128,12 +128,23 @@ def gedi(spark: SparkSession, job: registry.FootprintJob, product: str, shots: D
     span = times.request_range(*((job.time_range or {}).get(k) for k in ("start", "end")))
     if span is not None:
         shots = shots.where((F.col("time") >= F.lit(span[0]).cast("timestamp")) & (F.col("time") <= F.lit(span[1]).cast("timestamp")))
-    owned = footprints.tiled(shots, tiles, box, nx, ny).drop("i", "j")
+    names = {k: getattr(job, k) for k in ("fields", "anc_fields", "rh_percentiles", "quality_filter", "time_range", "max_tile_size_m")}
+    folder = job.output + ".tiles"
+    store.guard(spark, folder, json.dumps(names | {"product": product, "box": box}))
+    done = spark.createDataFrame([(t,) for t in store.done_tiles(spark, folder)], "tile string")
+    todo = tiles.withColumnRenamed("key", "tile").join(F.broadcast(done), "tile", "left_anti")
+    owned = footprints.tiled(shots, tiles.select("j", "i"), box, nx, ny).join(todo.select("j", "i", "tile"), ["j", "i"])
     if product == "l2a":
-        made = footprints.heights(owned, job.fields or footprints.HEIGHT_FIELDS, job.anc_fields, job.rh_percentiles, job.quality_filter)
+        percentiles = job.rh_percentiles or footprints.PERCENTILES
+        kept = footprints.good_heights(owned) if job.quality_filter else owned
+        columns = footprints.fields(job.fields or footprints.HEIGHT_FIELDS, job.anc_fields, percentiles)
+        made = footprints.selected(footprints.expand_heights(kept, percentiles), [*columns, "tile"])
     else:
-        made = footprints.biomass(owned, job.fields or footprints.BIOMASS_FIELDS, job.anc_fields, job.quality_filter)
-    made.orderBy("time").write.parquet(job.output)
+        kept = footprints.good_biomass(owned) if job.quality_filter else owned
+        made = footprints.selected(kept, [*footprints.fields(job.fields or footprints.BIOMASS_FIELDS, job.anc_fields), "tile"])
+    store.write_tiles(made, folder)
+    spark.read.schema(made.schema).parquet(folder).drop("tile").orderBy("time").write.parquet(job.output)
+    files.delete(spark, folder)
     return True
 
 

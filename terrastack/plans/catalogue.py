@@ -468,3 +468,77 @@ def nearest_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = gridded(spark, sf_dir).withColumns({"green": F.col("scl").cast("double"), "nir": F.col("x").cast("double")})
     return raster.predict_mask(p, lambda v: (v[:, 0] > 25).astype(int)).select("epsg", "y", "x", "ocm")
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type || ',visual' ELSE 'visual' END AS keys FROM events")
+def kept_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = F.create_map("event_type", F.lit("a"), F.lit("visual"), F.lit("b"))
+    kept = catalog.kept_assets(assets, ["click", "view", "visual"])
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys"))
+
+
+@query(
+    f"""WITH {ITEMS} SELECT item_id, CAST(dt AS DATE) AS day, substr(tile, 6) AS tile FROM (SELECT *, coalesce(grid_code, 'MGRS-' || mgrs_tile, item_id) AS tile FROM items)
+  WHERE CAST(dt AS DATE) >= DATE '1996-03-01'"""
+)
+def open_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog.search(items(spark, sf_dir), days="1996-03-01/..")
+    tile = strings.tile_of(F.col("grid_code"), F.col("mgrs_tile"), F.col("item_id"))
+    return found.select("item_id", F.to_date("dt").alias("day"), F.substring(tile, 6, 100).alias("tile"))
+
+
+@query(
+    """SELECT CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, 30.0::DOUBLE + 2.0::DOUBLE * i / 5 AS min_lon, CASE WHEN j = 30 THEN 2.0::DOUBLE ELSE -12.0::DOUBLE + 14.0::DOUBLE * (j + 1) / 31 END AS max_lat
+  FROM generate_series(0, 30) a(j), generate_series(0, 4) b(i)"""
+)
+def footprint_tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.tiles(spark, (30, -12, 32, 2), 50_000).select("j", "i", "min_lon", "max_lat")
+
+
+@query(f"WITH {GRIDDED} SELECT epsg, CAST(floor(y / 3.0) AS INTEGER) AS y, CAST(floor(x / 3.0) AS INTEGER) AS x, round(avg(red), 6) AS red FROM g GROUP BY ALL")
+def resample_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.resampled(gridded(spark, sf_dir), ["red"], 3.0, {"*": "average"}).withColumn("red", F.round("red", 6))
+
+
+@query(
+    f"""WITH {GRIDDED}, one AS (SELECT epsg, y, x, max(scl) AS scl FROM g GROUP BY ALL)
+  SELECT epsg, CAST(y // 3 AS INTEGER) AS y, CAST(x // 3 AS INTEGER) AS x, arg_min(scl, abs(y % 3 - 1) * 1000000 + abs(x % 3 - 1) * 1000000 + y * 1000 + x) AS scl FROM one GROUP BY epsg, y // 3, x // 3"""
+)
+def resample_mask_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = gridded(spark, sf_dir).groupBy("epsg", "y", "x").agg(F.max("scl").alias("scl"))
+    return raster.resampled(one, ["scl"], 3.0, {"*": "average"}, mask="scl")
+
+
+@query(
+    f"""WITH {GRIDDED}, c AS (SELECT epsg, y // 2 AS y, x // 2 AS x, avg(red) AS red FROM g GROUP BY ALL)
+  SELECT epsg, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(CASE WHEN red > 0 THEN least(red + 20, 65535) ELSE 0 END, 6) AS red FROM c"""
+)
+def mask_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.mask_input(gridded(spark, sf_dir), 2, 20, ("red",)).withColumn("red", F.round("red", 6))
+
+
+@query(f"WITH {BOXES}, {SHARDS}, picked AS (SELECT * FROM boxes WHERE c_custkey % 50 = 0) SELECT CAST(c_custkey AS VARCHAR) AS item_id, shard_y FROM picked, shards")
+def unlocated_items_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nowhere = boxes(spark, sf_dir).where("pos % 50 = 0").withColumns({c: F.lit(None).cast("double") for c in ("minx", "miny", "maxx", "maxy")})
+    return spatial.item_shards(nowhere, shards(spark, sf_dir), 3.0).select("item_id", "shard_y")
+
+
+@query(f"WITH {BOXES}, {SHARDS}, few AS (SELECT * FROM boxes WHERE c_custkey % 7 = 0) SELECT shard_y, CAST(c_custkey AS VARCHAR) AS item_id FROM shards LEFT JOIN few ON {MEET}")
+def empty_shards_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = boxes(spark, sf_dir).where("pos % 7 = 0")
+    return spatial.item_shards(few, shards(spark, sf_dir), 3.0, keep_empty=True).select("shard_y", "item_id")
+
+
+@query(f"WITH {BOXES} SELECT CAST(c_custkey AS VARCHAR) AS item_id FROM boxes WHERE minx <= 20 AND maxx >= -20 AND miny <= 10 AND maxy >= -10")
+def polygon_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = [[(-20.0, -10.0), (20.0, -10.0), (20.0, 10.0), (-20.0, 10.0)]]
+    return boxes(spark, sf_dir).where(geo.meets(ring, F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))).select("item_id")
+
+
+@query(
+    f"""WITH {ITEMS}, up AS (SELECT item_id, dn_offset FROM (SELECT item_id, source, pos % 3 AS k, CASE WHEN source = 'earthsearch' THEN 'x' END AS e, CASE WHEN pos % 3 = 0 THEN 0 WHEN pos % 3 = 1 THEN 1000 END AS dn_offset FROM items))
+  SELECT item_id, CAST(coalesce(1000 - dn_offset, 0) AS INTEGER) AS shift FROM up"""
+)
+def encoding_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offset = F.when(F.col("pos") % 3 == 0, 0).when(F.col("pos") % 3 == 1, 1000)
+    return items(spark, sf_dir).select("item_id", catalog.shift(offset).cast("int").alias("shift"))

@@ -254,18 +254,19 @@ def remove_cache(spark: SparkSession, cache: str, manifest: str, stores: list[st
     files.delete(spark, cache)
 
 
-def write_tile(frame: DataFrame, folder: str, key: str, params: str) -> None:
-    """A footprint tile under its key, guarded by the parameters it was made with."""
-    spark = frame.sparkSession
-    guard = f"{folder}/params.json"
-    canonical = json.dumps(json.loads(params), sort_keys=True)
-    if files.exists(spark, guard):
-        if json.loads(files.read_text(spark, guard)) != json.loads(canonical):
-            raise ValueError(f"{folder} was made with other parameters")
-    else:
-        files.write_text(spark, guard, canonical)
-    frame.write.mode("overwrite").parquet(f"{folder}/tile={key}")
+def guard(spark: SparkSession, folder: str, params: str) -> None:
+    """Refuse a folder of tiles that was made with other parameters."""
+    path, canonical = f"{folder}/params.json", json.dumps(json.loads(params), sort_keys=True)
+    if not files.exists(spark, path):
+        files.write_text(spark, path, canonical)
+    elif json.loads(files.read_text(spark, path)) != json.loads(canonical):
+        raise ValueError(f"{folder} was made with other parameters")
+
+
+def write_tiles(frame: DataFrame, folder: str) -> None:
+    """Footprints with their ``tile``, one folder each: a tile's folder appears when all tiles of the job are committed."""
+    frame.repartition("tile").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(folder)
 
 
 def done_tiles(spark: SparkSession, folder: str) -> list[str]:
-    return [d[5:] for d in files.listed(spark, folder) if d.startswith("tile=") and files.exists(spark, f"{folder}/{d}/_SUCCESS")]
+    return [d[5:] for d in files.listed(spark, folder) if d.startswith("tile=")]

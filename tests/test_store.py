@@ -185,3 +185,14 @@ def test_stream(spark, tmp_path, pixels):
     q = ingest.keep_up(stream, path, str(tmp_path / "cp"), lambda f: every.join(f.select("shard_y", "shard_x"), store.KEYS, "left_semi"), lambda u: pixels)
     q.awaitTermination(120)
     assert sorted(tuple(r) for r in store.written(spark, path).collect()) == [(0, 0), (1, 2)]
+
+
+def test_gedi_job(spark, tmp_path):
+    shots = spark.range(400).select(F.timestamp_seconds(1_600_000_000 + F.col("id") * 7 % 1000).alias("time"), (2 + F.col("id") % 20 * 0.01).alias("lon"), (48 + F.col("id") / 20 * 0.01).alias("lat"), F.lit(-10.0).alias("solar_elevation"), F.when(F.col("id") % 10 == 0, 0.5).otherwise(0.95).alias("sensitivity"), F.array_repeat(F.lit(0.4), 101).alias("rh"), F.col("id").cast("float").alias("elevation_lm"), F.lit(1.0).alias("elevation_hr"))
+    j = registry.FootprintJob(str(tmp_path / "out.parquet"), aoi={"left": 2.0, "bottom": 48.0, "right": 2.19, "top": 48.2}, max_tile_size_m=5000.0, rh_percentiles=[50])
+    assert cli.gedi(spark, j, "l2a", shots) and not cli.gedi(spark, j, "l2a", shots)
+    out = spark.read.parquet(j.output)
+    assert out.columns == ["time", "elevation_lm", "elevation_hr", "rh50", "lon", "lat"] and out.count() == 360
+    store.guard(spark, str(tmp_path / "t"), '{"a": 1}')
+    with pytest.raises(ValueError):
+        store.guard(spark, str(tmp_path / "t"), '{"a": 2}')
