@@ -48,6 +48,10 @@ GAPS = (
 )
 
 
+#: Collections with known gaps up to this number (about 1 MB) are broadcast.
+BROADCAST_COLLECTIONS = 10_000
+
+
 class NeedsAcceptance(ValueError):
     """A range lies in a gap whose stand-in mixes versions and must be accepted."""
 
@@ -98,7 +102,8 @@ def route(ranges: DataFrame, gaps: DataFrame) -> DataFrame:
     and repeated ones stay. The first gap by day that a range overlaps decides.
     """
     known = gaps.groupBy("source", "collection").agg(F.sort_array(F.collect_list(F.struct("gap_start", "gap_end", "fallback", "confirm"))).alias("_gaps"))
-    joined = ranges.join(known, ["source", "collection"], "left")
+    small = known.limit(BROADCAST_COLLECTIONS + 1).count() <= BROADCAST_COLLECTIONS
+    joined = ranges.join(F.broadcast(known) if small else known, ["source", "collection"], "left")
     first, last = F.col("first"), F.col("last")
     overlaps = lambda g: F.coalesce(last >= g["gap_start"], F.lit(True)) & F.coalesce(first <= g["gap_end"], F.lit(True))
     hit = joined.withColumn("_gap", F.get(F.filter("_gaps", overlaps), F.lit(0)))

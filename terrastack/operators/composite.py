@@ -106,6 +106,8 @@ def mosaic(obs: DataFrame, bands: list[str], nodata: dict[str, float] | None = N
     if "dn_offset" in has:
         obs = harmonised(obs, bands)
     if fuse:
+        # dealt by pixel once: fusion and reduction both group by it and need no exchange of their own
+        obs = obs.repartition(*PIXEL)
         obs = fused(obs, used, tuple(c for c in ("dn_offset", "orbit_state") if c in has))
     obs = mask_classes(obs, bands, mask, mask_out)
     return (composite_by_orbit if by_orbit else composite)(obs, bands, method)

@@ -51,13 +51,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as observations: a user is a pixel, the kind of event its class."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.lit(32636).alias("epsg"), (F.col("user_id") % 100).cast("int").alias("y"), F.expr("user_id div 100").cast("int").alias("x"), F.col("event_id").alias("pos"), F.col("ts").alias("dt"),
+        (F.col("user_id") % 2 * 100 + 32636).cast("int").alias("epsg"), (F.col("user_id") % 100).cast("int").alias("y"), F.expr("user_id div 100").cast("int").alias("x"), F.col("event_id").alias("pos"), F.col("ts").alias("dt"),
         times.solar_day(F.col("ts"), lon(F.col("user_id"))).alias("solar_day"), "value", F.when(F.col("event_type") == "error", 9).otherwise(4).alias("scl"), (F.when(F.col("event_id") % 3 == 0, 0).otherwise(1000)).alias("dn_offset"),
         F.when(F.col("event_id") % 2 == 0, "ascending").otherwise("descending").alias("orbit_state"), F.col("event_id").cast("string").alias("item_id"),
     )
 
 
-OBS = """obs AS (SELECT CAST(32636 AS INTEGER) AS epsg, CAST(user_id % 100 AS INTEGER) AS y, CAST(user_id // 100 AS INTEGER) AS x, event_id AS pos, ts AS dt,
+OBS = """obs AS (SELECT CAST(user_id % 2 * 100 + 32636 AS INTEGER) AS epsg, CAST(user_id % 100 AS INTEGER) AS y, CAST(user_id // 100 AS INTEGER) AS x, event_id AS pos, ts AS dt,
   CAST(ts + to_hours(CAST(trunc(((user_id * 37 % 3600) / 10.0::DOUBLE - 180) / 15) AS INTEGER)) AS DATE) AS solar_day, value,
   CASE WHEN event_type = 'error' THEN 9 ELSE 4 END AS scl, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1000 END AS dn_offset,
   CASE WHEN event_id % 2 = 0 THEN 'ascending' ELSE 'descending' END AS orbit_state FROM events)"""
