@@ -32,7 +32,7 @@ def search(spark: SparkSession, job: registry.Job, items_in: DataFrame, borders:
     box, rings = registry.area(job, borders)
     found = catalog.search(items_in, name, box, job.days, job.max_cloud_cover, job.orbit_state)
     if rings is not None:
-        found = found.where(geo.meets(rings, F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")))
+        found = geo.meeting(found, rings, "minx", "miny", "maxx", "maxy")
     found = found.withColumn("assets", catalog.renamed_assets(F.col("assets"), registry.asset_names(source, name)))
     if job.satellite == "sentinel-2":
         found = catalog.with_offsets(catalog.best_versions(found))
@@ -121,7 +121,7 @@ def gedi(spark: SparkSession, job: registry.FootprintJob, product: str, shots: D
     nx, ny = geo.tile_counts(box, job.max_tile_size_m)
     tiles = geo.tiles(spark, box, job.max_tile_size_m)
     if rings is not None:
-        tiles = tiles.where(geo.meets(rings, F.col("min_lon"), F.col("min_lat"), F.col("max_lon"), F.col("max_lat")))
+        tiles = geo.meeting(tiles, rings, "min_lon", "min_lat", "max_lon", "max_lat")
     if tiles.isEmpty():
         raise ValueError("no tile meets the area")
     tiles = tiles.withColumn("key", tile_key(F.col("min_lon"), F.col("min_lat"), F.col("max_lon"), F.col("max_lat")))

@@ -239,9 +239,14 @@ def intersects(polygons: Sequence[Sequence[tuple[float, float]]], boxes: np.ndar
     return out
 
 
-def meets(polygons: Sequence[Sequence[tuple[float, float]]], west: Column, south: Column, east: Column, north: Column) -> Column:
-    """``intersects`` as a Column: bounds first, in generated code, then an Arrow function on what is left."""
+def near(polygons: Sequence[Sequence[tuple[float, float]]], west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether boxes meet the polygons' bounds: comparisons only, so a scan can skip files and row groups by it."""
     w, s, e, n = bounds(polygons)
+    return (west <= e) & (east >= w) & (south <= n) & (north >= s)
+
+
+def meets(polygons: Sequence[Sequence[tuple[float, float]]], west: Column, south: Column, east: Column, north: Column) -> Column:
+    """``intersects`` as a Column, an Arrow function; filters put ``near`` before it, so it sees what is left."""
     rings = [list(map(tuple, r)) for r in polygons]
 
     @F.pandas_udf("boolean")
@@ -250,5 +255,10 @@ def meets(polygons: Sequence[Sequence[tuple[float, float]]], west: Column, south
 
         return pd.Series(intersects(rings, np.column_stack((a, b, c, d))))
 
-    near = (west <= e) & (east >= w) & (south <= n) & (north >= s)
-    return F.when(near, exact(west, south, east, north)).otherwise(F.lit(False))
+    return exact(west, south, east, north)
+
+
+def meeting(df: DataFrame, polygons: Sequence[Sequence[tuple[float, float]]], west: str, south: str, east: str, north: str) -> DataFrame:
+    """Rows whose boxes meet the polygons: by bounds first, then exactly."""
+    box = [F.col(c) for c in (west, south, east, north)]
+    return df.where(near(polygons, *box)).where(meets(polygons, *box))

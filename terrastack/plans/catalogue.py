@@ -532,7 +532,7 @@ def empty_shards_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BOXES} SELECT CAST(c_custkey AS VARCHAR) AS item_id FROM boxes WHERE minx <= 20 AND maxx >= -20 AND miny <= 10 AND maxy >= -10")
 def polygon_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = [[(-20.0, -10.0), (20.0, -10.0), (20.0, 10.0), (-20.0, 10.0)]]
-    return boxes(spark, sf_dir).where(geo.meets(ring, F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))).select("item_id")
+    return geo.meeting(boxes(spark, sf_dir), ring, "minx", "miny", "maxx", "maxy").select("item_id")
 
 
 @query(
