@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrastack.llm.staging import staged
+
 #: List keys up to this number (about 10 MB) are broadcast; a longer list is joined by shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -46,7 +48,7 @@ def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     probe. Null URLs and null days are never blocked; repeated rows are judged alike; empty tables are fine, also an
     empty list. Columns of ``captures`` named ``n_active`` or ``blocked`` are replaced.
     """
-    spans = validity(entries)
+    spans = staged(validity(entries), "validity")
     small = spans.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     out, hits = captures.drop("n_active", "blocked"), []
     for i, key in enumerate(keys(F.col("url"))):
