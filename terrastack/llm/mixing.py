@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrastack.llm.staging import staged
+
 #: Weights by place of a source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source is repeated at most this often.
@@ -45,7 +47,7 @@ def with_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
     an empty table stays empty. Columns of ``docs`` named like the new ones are replaced.
     """
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(_WORD)), F.lit(0)).cast("long"))
-    sums = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "source_of_target")
+    sums = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets").withColumnRenamed("source", "source_of_target")
     small = sums.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = sized.join(F.broadcast(sums) if small else sums, F.col("source").eqNullSafe(F.col("source_of_target")), "left").drop("source_of_target")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
