@@ -27,20 +27,29 @@ from terrastack.llm.staging import staged
 from terrastack.llm.textkit import buffer
 
 SEED = 42
+#: Candidates up to this number (about 10 MB) are broadcast to find their texts; more are joined by shuffle.
+BROADCAST_NODES = 100_000
 
 
-def fingerprint(text: bytes, shingle: int, count: int) -> list[int]:
-    """``count`` 64-bit fingerprints of a text: the first is of XXH64 (seed 42), the next of seeds 43 and up."""
+def shingles_of(text: bytes, shingle: int) -> list[bytes]:
+    """Shingles of a lower-cased text in order, repeats included; none without words."""
     tokens = text.lower().split()
     if not tokens:
-        return [0] * count
+        return []
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     k = min(shingle, len(tokens))
     spans = zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())
-    shingles = [joined[a:b] for a, b in spans]
+    return [joined[a:b] for a, b in spans]
+
+
+def fingerprint(text: bytes, shingle: int, count: int) -> list[int]:
+    """``count`` 64-bit fingerprints of a text: the first is of XXH64 (seed 42), the next of seeds 43 and up."""
+    shingles = shingles_of(text, shingle)
+    if not shingles:
+        return [0] * count
     out = []
     digest = xxhash.xxh64_intdigest
     for seed in range(SEED, SEED + count):
@@ -321,18 +330,119 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int
     return prints.join(known, names, "left").select(id_col, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- exact similarity of candidates
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (from, to as indices) of the sets (distinct hashes each) of Jaccard ``similarity`` or more.
+
+    Breadth first as ``forest``: what has been reached is compared no more. Two empty sets are equal.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    values, place = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    off = np.concatenate(([0], np.cumsum(size)))
+    full = np.flatnonzero(size)
+    mark, todo = np.zeros(len(values), np.int32), np.arange(len(sets))
+    a, b = [], []
+    while len(todo):
+        frontier, todo = [int(todo[0])], todo[1:]
+        while frontier and len(todo):
+            x = frontier.pop()
+            own = place[off[x] : off[x + 1]]
+            both = np.zeros(len(sets), np.int64)
+            if len(own):
+                mark[own] = 1
+                both[full] = np.add.reduceat(mark[place], off[full])
+                mark[own] = 0
+            near = both[todo] >= similarity * (size[x] + size[todo] - both[todo]) - 1e-9
+            hit = todo[near]
+            a += [x] * len(hit)
+            b += hit.tolist()
+            frontier += hit.tolist()
+            todo = todo[~near]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def verified(texts: DataFrame, members: DataFrame, shingle: int, similarity: float, chunk: int = 128, most_bytes: int = 16 << 20) -> DataFrame:
+    """Edges ``(a, b)`` that connect all pairs of Jaccard ``similarity`` or more inside candidate components.
+
+    ``texts(doc_id, text, same)`` holds the text of each node of ``members(node, same, component, bytes)``. Every pair
+    of a component is compared by the whole sets of its shingles. A component of more than ``chunk`` nodes or
+    ``most_bytes`` bytes is dealt in chunks, each pair of chunks to a task of its own.
+    """
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+    large = sizes.where((F.col("rows") > chunk) | (F.col("bytes") > most_bytes)).select("component", F.greatest(F.ceil(F.col("rows") / chunk), F.ceil(F.col("bytes") / most_bytes)).cast("int").alias("chunks"))
+    dealt = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node", "same"), F.col("chunks")).cast("int"))
+    dealt = staged(dealt.select("node", "same", "component", "chunks", "own"), "members")
+    small = dealt.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    named = texts.join(F.broadcast(dealt) if small else dealt, (F.col("doc_id") == F.col("node")) & (texts["same"] == dealt["same"])).select("node", "component", "chunks", "own", "text")
+    named = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = named.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "text")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+        for batch in batches:
+            data, off = buffer(batch.column(2))
+            for i, (k, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if k != key and nodes:
+                    yield edges(nodes, sets)
+                    nodes, sets = [], []
+                key = k
+                nodes.append(node)
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles_of(data[off[i] : off[i + 1]].tobytes(), shingle)], dtype=np.uint64)))
+        if nodes:
+            yield edges(nodes, sets)
+
+    def edges(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = similar(sets, similarity)
+        own = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int, similarity: float, tau: int, count: int, most: int, probed: int) -> DataFrame:
+    """``(doc_id, component_id)`` for every row: groups linked by Jaccard ``similarity`` or more of shingle sets.
+
+    Fingerprints only find candidates, as in ``near_duplicates``, here over distinct texts; each is then compared
+    exactly (``verified``).
+    """
+    names = [f"f{i}" for i in range(count)]
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit(""))).alias("same"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffer(batch.column(1))
+            raw, values = data.tobytes(), np.zeros((batch.num_rows, count), np.uint64)
+            for i in range(batch.num_rows):
+                values[i] = fingerprint(raw[off[i] : off[i + 1]], shingle, count)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(off)), *(pa.array(values[:, j].astype(np.int64)) for j in range(count))], names=["doc_id", "same", "bytes", *names])
+
+    prints = staged(rows.mapInArrow(of, "doc_id long, same string, bytes long, " + ", ".join(f"{x} long" for x in names)), "prints")
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"), *(F.max(x).alias(x) for x in names))
+    nodes = staged(nodes.where("node is not null"), "nodes")
+    candidates = connected_components(linked_fingerprints(nodes, tau, count, most, probed))
+    members = nodes.select("node", "same", "bytes").join(candidates, "node")
+    parents = connected_components(verified(rows, members, shingle, similarity))
+    known = nodes.join(parents, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", "same").join(known, "same", "left").select("doc_id", "component_id")
+
+
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 12, count: int = 3, probed: int = 2) -> DataFrame:
     """``docs`` with one row (the smallest doc_id) of each group of near-duplicates.
 
     Two of three fingerprints of independent hashes are probed, each within ``tau`` of its 64 bits, and candidates are
-    verified over all bits: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of
-    differing bits estimates j. A pair must look as similar as ``similarity``, with one and a half standard deviations
-    in its favour. Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    looked at over all bits: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of
+    differing bits estimates j. A candidate must look as similar as ``similarity``, with one and a half standard
+    deviations in its favour; it is a duplicate only if the whole shingle sets have ``similarity`` or more, exactly.
+    Groups are closed transitively. Texts without words are equal. Of rows that repeat a doc_id one stays; rows with a
+    null doc_id all stay.
     """
     bits = 64 * count
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
-    found = staged(near_duplicates(docs, shingle, tau, count, most, probed).select("doc_id", "component_id"), "groups")
+    found = staged(similar_groups(docs, shingle, similarity, tau, count, most, probed), "groups")
     gone = staged(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
     twice = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     left = docs.join(gone, "doc_id", "left_anti")
