@@ -429,19 +429,19 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float, tau: int, c
     return prints.select("doc_id", "same").join(known, "same", "left").select("doc_id", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 12, count: int = 3, probed: int = 2) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 14, count: int = 3, probed: int = 3) -> DataFrame:
     """``docs`` with one row (the smallest doc_id) of each group of near-duplicates.
 
-    Two of three fingerprints of independent hashes are probed, each within ``tau`` of its 64 bits, and candidates are
+    Three fingerprints of independent hashes are probed, each within ``tau`` of its 64 bits, and candidates are
     looked at over all bits: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of
-    differing bits estimates j. A candidate must look as similar as ``similarity``, with one and a half standard
-    deviations in its favour; it is a duplicate only if the whole shingle sets have ``similarity`` or more, exactly.
+    differing bits estimates j. A candidate may look less similar than ``similarity`` by three and a half standard
+    deviations, so that hardly any pair is lost here; it is a duplicate only if the whole shingle sets have ``similarity`` or more, exactly.
     Groups are closed transitively. Texts without words are equal. Of rows that repeat a doc_id one stays; rows with a
     null doc_id all stay.
     """
     bits = 64 * count
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+    most = int(bits * share + 3.5 * np.sqrt(bits * share * (1 - share)))
     found = staged(similar_groups(docs, shingle, similarity, tau, count, most, probed), "groups")
     gone = staged(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
     twice = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")

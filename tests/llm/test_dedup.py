@@ -122,6 +122,19 @@ def test_near_dedup_keeps_what_is_less_similar(spark):
     assert simhash.keep_one_of_each(docs).count() == 300
 
 
+def test_near_dedup_finds_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 274)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 0.8))]
+    sets = shingle_sets(texts)
+    near = [i for i in range(0, 600, 2) if jaccard(sets[i], sets[i + 1]) == 0.8]
+    assert len(near) == 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one_of_each(docs).count() == 300
+
+
 def test_exact_check_in_chunks(spark):
     """Every pair of a component is compared, also across chunks, by shingle sets without repeats."""
     rng = np.random.default_rng(7)
