@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -79,6 +79,15 @@ def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return best
 
 
+def shared(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Words that ``item`` and each row of ``windows`` have in common, with repeats: no alignment scores more."""
+    known, count = np.unique(item, return_counts=True)
+    place = np.minimum(np.searchsorted(known, windows), len(known) - 1)
+    row, column = np.nonzero(known[place] == windows)
+    seen = np.bincount(row * len(known) + place[row, column], minlength=len(windows) * len(known))
+    return np.minimum(seen.reshape(len(windows), len(known)), count).sum(axis=1)
+
+
 def matches(word: np.ndarray, row: np.ndarray, rows: int, items: Items, n: int, least: float) -> list[tuple[int, int, float, int]]:
     """(row, item, share of the item's words that align, first word of the window) for texts given as words."""
     gram, at = ngrams(word, row, n)
@@ -102,6 +111,8 @@ def matches(word: np.ndarray, row: np.ndarray, rows: int, items: Items, n: int,
             index = start[:, None] + np.arange(width)
             inside = (index >= begin[part[:, 1]][:, None]) & (index < begin[part[:, 1] + 1][:, None])
             windows = np.where(inside, word[np.clip(index, 0, len(word) - 1)], np.uint64(0))
+            able = shared(own, windows) >= least * m
+            part, start, windows = part[able], start[able], windows[able]
             for (_, r, _), score, s in zip(part.tolist(), align(own, windows).tolist(), (start - begin[part[:, 1]]).tolist()):
                 if score >= least * m:
                     old = best.get((r, int(i)))
@@ -110,14 +121,14 @@ def matches(word: np.ndarray, row: np.ndarray, rows: int, items: Items, n: int,
     return [(r, i, score, s) for (r, i), (score, s) in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, rare: float = 1e-4, fewest: int = 8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, fewest: int = 8) -> DataFrame:
     """``(doc_id, item_id, score, start_word)``: documents that hold a test item, edited ones included.
 
-    Words are runs of letters and digits, lower-cased. Seeds are an item's n-grams unless they are common: in more
-    than ``rare`` of all documents and in over 4 times as many as the median of the item's n-grams that occur at all (so an item that leaked into
-    very many documents keeps its seeds). Around every seed shared with a document the item is aligned with the
-    document's words; ``score`` is the best alignment score as a share of the item's words, ``least`` or more.
-    Document frequencies count all documents, and whole texts are searched. Items of fewer than ``fewest`` words, or
+    Words are runs of letters and digits, lower-cased. Every n-gram of an item is a seed, however common. Around every
+    seed shared with a document the item is aligned with the document's words, unless the words there have too few in
+    common with the item for the least score; ``score`` is the best alignment score as a share of the item's words,
+    ``least`` or more.
+    Whole texts are searched. Items of fewer than ``fewest`` words, or
     null ones, are too short to be evidence and match nothing; null texts hold nothing. One row per document and
     item; rows that repeat a doc_id may both report. Items of one id are all searched.
     """
@@ -128,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
     out = None
     for b in range(blocks):  # a stated query set, in blocks of bounded size
         table = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
-        part = _search(texts, Items.of(table, n), n, least, rare, fewest)
+        part = _search(texts, Items.of(table, n), n, least, fewest)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -139,38 +150,9 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield a, b, *tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
 
 
-def _search(texts: DataFrame, items: Items, n: int, least: float, rare: float, fewest: int) -> DataFrame:
+def _search(texts: DataFrame, items: Items, n: int, least: float, fewest: int) -> DataFrame:
     context = texts.sparkSession.sparkContext
-    long_enough = np.diff(items.first)[items.item] >= fewest
-    items = items.keep(long_enough)
-    grams = np.unique(items.gram)
-    held = context.broadcast(grams)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        sums, rows = np.zeros(len(known), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, _, word, row in _texts(batch):
-                gram, at = ngrams(word, row, n)
-                place = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
-                hit = known[place] == gram if len(known) else np.zeros(len(gram), bool)
-                pairs = np.unique(np.stack((row[at][hit], place[hit]), axis=1), axis=0)
-                sums += np.bincount(pairs[:, 1], minlength=len(known))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], rows))], names=["gram", "docs"])
-
-    got = texts.mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).toArrow()
-    index, docs = got.column("gram").to_numpy(), got.column("docs").to_numpy()
-    frequency = np.zeros(len(grams), np.int64)
-    frequency[index[index >= 0]] = docs[index >= 0]
-    corpus = int(docs[index < 0].sum())
-    own = frequency[np.searchsorted(grams, items.gram)]
-    median = np.zeros(len(items.ids))
-    for i in np.unique(items.item):
-        seen = own[(items.item == i) & (own > 0)]
-        median[i] = np.median(seen) if len(seen) else 0
-    chosen = items.keep((own <= rare * corpus) | (own <= 4 * median[items.item]))
+    chosen = items.keep(np.diff(items.first)[items.item] >= fewest)
     sent = context.broadcast((chosen.ids, chosen.first, chosen.word, chosen.gram, chosen.item, chosen.at))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

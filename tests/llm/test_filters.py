@@ -47,6 +47,24 @@ def test_leaks_are_found_and_clean_documents_are_not(leaky):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {*range(40), 74, 75}
 
 
+def test_edited_copies_are_found_however_common(spark):
+    """The grams that the edited copies keep are common, those they lost occur once."""
+    rng = random.Random(12)
+    item = prose(rng, 30).split()
+    passage = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(item))
+    texts = [" ".join(item), *[prose(rng, 20) + " " + passage + " " + prose(rng, 20) for _ in range(20)], *[prose(rng, 60) for _ in range(20)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == set(range(21))
+
+
+def test_no_alignment_scores_more_than_the_words_in_common():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        a, b = rng.integers(0, 9, 8).astype(np.uint64), rng.integers(0, 14, (20, 24)).astype(np.uint64)
+        assert (decontaminate.align(a, b) <= decontaminate.shared(a, b)).all()
+
+
 def test_decontamination_in_blocks_and_empty(spark, leaky, monkeypatch):
     docs, bench = leaky
     whole = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
