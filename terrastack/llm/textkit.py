@@ -12,6 +12,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Inverse of BASE modulo 2**64.
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: A second base with its inverse, for hashes that are independent of the first.
+OTHER = np.uint64(0xD1342543DE82EF95)
+OTHER_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 #: 1 where a byte is ASCII white space as the contracts define it: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -23,15 +26,15 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n."""
+def powers(n: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i below n, or those of the second base."""
     if not _powers or len(_powers["up"]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("up", BASE), ("down", INVERSE)):
+        for key, base in (("up", BASE), ("down", INVERSE), ("other up", OTHER), ("other down", OTHER_INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
             _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    return (_powers["other up"][:n], _powers["other down"][:n]) if other else (_powers["up"][:n], _powers["down"][:n])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -41,6 +44,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Random weight of each byte, for the second hash: it isn't a function of the first even where bytes differ regularly.
+WEIGHT = mixed(mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * BASE) * OTHER)
+
+
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -189,10 +189,41 @@ def test_repeats_are_exact(docs, texts):
 def test_repeats_with_small_blocks_and_folds(docs, texts, monkeypatch):
     """Stretches of long documents overlap, and what tasks fold apart meets again."""
     monkeypatch.setattr(suffix_dedup, "FOLD", 50)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 11)
     for length in (40, 101):
         assert told(suffix_dedup.remove_repeats(docs, length)) == brute_removed(list(enumerate(texts)), length)
 
 
+def test_repeats_in_rounds_many_buckets_and_by_join(docs, texts, monkeypatch):
+    want = brute_removed(list(enumerate(texts)), 100)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 10)
+    monkeypatch.setattr(suffix_dedup, "MOST_PARTS", 3)
+    assert told(suffix_dedup.remove_repeats(docs)) == want
+    monkeypatch.setattr(suffix_dedup, "FILTER_BLOCKS", -1)
+    assert told(suffix_dedup.remove_repeats(docs)) == want
+
+
+def test_many_texts_around_one_line(spark):
+    """Blocks of one class, all different: no short hash may take two for equal."""
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (300_000, 50), np.uint8)
+    line = "".join(chr(97 + i * i % 25) for i in range(60)).encode()
+    rows = [(i, (x[:25].tobytes() + line + x[25:].tobytes()).decode()) for i, x in enumerate(letters)]
+    rows[77] = (77, rows[5][1][:104] + "!" * 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: v for k, v in brute_removed(rows, 100).items() if v[1]}
+    assert told(suffix_dedup.remove_repeats(df).where("n_removed > 0")) == want and 77 in want
+
+
+def test_a_long_text_with_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    text = "".join(map(chr, rng.integers(97, 123, 1_500_000)))
+    text += text[700_000:700_400] + "".join(map(chr, rng.integers(97, 123, 1_500_000))) + text[3:150]
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 14)
+    rows = [(1, text), (2, "x" + text[1_000_000:1_000_300])]
+    assert told(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_removed(rows, 100)
+
+
 def test_repeats_edges(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     long = "q" * 50 + "".join(chr(97 + i % 26) + str(i) for i in range(80))
