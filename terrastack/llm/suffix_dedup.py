@@ -38,8 +38,8 @@ from terrastack.llm.textkit import BASE, WEIGHT, buffer, mixed, powers, runs_of_
 BLOCK = 1 << 20
 #: Sampled suffixes or windows that a task folds before it sends them on.
 FOLD = 500_000
-#: Open blocks up to this number are found again by a bitmap of 16 bits each (32 MB at most); more by a join on documents.
-FILTER_BLOCKS = 1 << 24
+#: Open blocks up to this number are found again by a bitmap of 16 bits each (8 MB at most); more by a join on documents.
+FILTER_BLOCKS = 1 << 22
 #: Bytes of text for each task and for each bucket it sorts at a time, and tasks of one round.
 PART_BYTES, BUCKET_BYTES, MOST_PARTS = 256 << 20, 4 << 20, 20_000
 
