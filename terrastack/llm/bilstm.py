@@ -117,6 +117,13 @@ class Tagger:
                 self.p[k] -= (slower * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.99**s)) + 1e-6)).astype(np.float32)
         return loss
 
+    def best(self, e: np.ndarray) -> float:
+        """Score of the best tags of one sequence of emissions."""
+        step, score = self.p["step"], e[0]
+        for row in e[1:]:
+            score = (score[:, None] + step).max(axis=0) + row
+        return float(score.max())
+
     def decode(self, e: np.ndarray) -> np.ndarray:
         """Best tags of one sequence of emissions (length x tags)."""
         step, score = self.p["step"], e[0]
