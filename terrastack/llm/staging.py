@@ -1,20 +1,28 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and what follows from staged tables: sizes and ranks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
+
+#: Bytes of a table up to which it is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+_PLACE = (1 << 33) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one for a local master only (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -28,3 +36,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fits(df: DataFrame, most: int | None = None) -> bool:
+    """Whether a (staged) table has at most ``most`` bytes in memory: measured, not estimated from its rows."""
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    lists = [F.lit(32) * F.greatest(F.size(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (ArrayType, MapType))]
+    row = F.lit(32 + 16 * len(df.columns))
+    for c in [*long, *lists]:
+        row = row + c
+    return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it (case doesn't matter to Spark)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``rank``, from 0 without gaps, staged; ``rank`` must be no column of ``df``.
+
+    A range partitioning and one offset for each partition: no task holds more than its range. Rows that are equal in
+    ``order`` are spread as well (by their place in the input), so repeated rows overload no range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie, part, place = (unused(df.columns, x) for x in ("tie", "part", "place"))
+    keys = [*order, F.col(tie)]
+    runs = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop(tie)
+    placed = staged(runs.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))), name)
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy().orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each partition: no more than there are tasks
+    first = placed.groupBy(part).agg(F.count(F.lit(1)).alias("rows")).select(part, before.alias("rank"))
+    return placed.join(F.broadcast(first), part).withColumn("rank", F.col("rank") + F.col(place)).drop(part, place)
