@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrastack.llm.staging import staged
+from terrastack.llm.staging import fits, ranked, staged, unused
 
 #: Weights by place of a source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source is repeated at most this often.
 MOST = 3
-#: Sources up to this number (about 10 MB) are broadcast; a larger table is joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: Parts that each source is dealt in where the sources are too many to broadcast.
+SALT = 16
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,48 +22,111 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     Sources by code point, null last, weigh 5, 2, 1, repeating, and share all sizes; a target stops at 3 times its
     source's size and the excess is shared anew by weight. That ends at the water level ``l`` at which the sum of
-    ``least(3 * size, l * weight)`` is the total: of the sources in order of ``3 * size / weight``, those before the
-    first whose cap is not below the level of the rest are full.
+    ``least(3 * size, l * weight)`` is the total. The level rises from the plain share: what is full at one
+    level is left out of the next, until no more is; each step is one aggregate over the sources, however many.
     """
-    everything = Window.partitionBy()
-    ranked = sizes.withColumn("place", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
-    weighed = ranked.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * MOST)
-    order = everything.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = weighed.withColumn("level", (F.sum("source_size").over(everything) - before) / rest).withColumn("turn", F.row_number().over(order))
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("turn", "level"))
-    water = level.withColumn("water", F.min(fits).over(everything)["level"])
-    return water.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")).alias("target"))
-
-
-def with_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies``.
-
-    A source's rate is target / size. Each document is taken floor(rate) times, and once more if a number in
-    [0, 1) made from the md5 of seed and doc_id lies below the fraction of the rate: reruns agree, and no document is
-    taken more than 3 times. Null texts have size 0; a null source is a source; rows that repeat a doc_id fall alike;
-    an empty table stays empty. Columns of ``docs`` named like the new ones are replaced.
+    placed = ranked(sizes, [F.col("source").asc_nulls_last()], "sources")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    weighed = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * MOST).alias("cap"))
+    total, level, full = weighed.agg(F.sum("source_size")).first()[0] or 0, None, -1
+    while True:
+        below = F.lit(False) if level is None else F.col("cap") / F.col("weight") < level
+        n, caps, rest = weighed.agg(F.count(F.when(below, 1)), F.sum(F.when(below, F.col("cap"))), F.sum(F.when(~below, F.col("weight")))).first()
+        if n == full:
+            break
+        full, level = n, (total - (caps or 0)) / rest if rest else 0.0
+    return weighed.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("weight")).alias("target"))
+
+
+def draw(docs: DataFrame, seed: str) -> Column:
+    """A number below 2**32 made from the md5 of seed and doc_id (of the text where the id is null)."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), name)), 1, 8), 16, 10).cast("long")
+
+
+def plans(sized: DataFrame) -> DataFrame:
+    """``(source, source_size, target, times, cut)`` from ``sized(source, size, u)``.
+
+    A source's rate is target / size: each of its documents is taken ``times`` = floor(rate) times, and once more if its
+    number ``u`` is ``cut`` or less. The cut is at the fraction of the rate, but carried on to where the words taken
+    along the order of ``u`` come nearest to the target. It is found in two steps of 16 bits: the words of each of the
+    65,536 ranges of a source, then of the numbers in the one range that holds the cut.
     """
-    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(_WORD)), F.lit(0)).cast("long"))
-    sums = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets").withColumnRenamed("source", "source_of_target")
-    small = sums.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = sized.join(F.broadcast(sums) if small else sums, F.col("source").eqNullSafe(F.col("source_of_target")), "left").drop("source_of_target")
-    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    return joined.withColumn("copies", (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    sums = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    times = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
+    wanted = sums.withColumn("times", times).withColumn("need", F.when(F.col("times") < MOST, F.col("target") - F.col("times") * F.col("source_size")).otherwise(0.0))
+    own = wanted.select(F.col("source").alias("_source"), "need").where("need > 0")
+    few = fits(own)
+
+    def with_need(df: DataFrame) -> DataFrame:  # a row for each source and range at most: no source is hot here
+        return df.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+    order = Window.partitionBy("source").orderBy("range")
+    ranges = sized.groupBy("source", F.shiftright("u", 16).alias("range")).agg(F.sum("size").alias("words"))
+    ranges = with_need(ranges.withColumn("upto", F.sum("words").over(order)))
+    crossed = ranges.where("upto > need and upto - words <= need").groupBy("source").agg(F.min(F.struct("range", (F.col("upto") - F.col("words")).alias("start"), "need")).alias("x"))
+    crossed = staged(crossed.select(F.col("source").alias("_source"), "x.range", "x.start", "x.need"), "cuts")
+    met = sized.withColumn("range", F.shiftright("u", 16)).join(F.broadcast(crossed) if fits(crossed) else crossed.hint("shuffle_hash"), F.col("source").eqNullSafe(F.col("_source")) & (F.shiftright("u", 16) == crossed["range"]))
+    numbers = met.groupBy("_source", "u", "start", "need").agg(F.sum("size").alias("words"))
+    upto = F.col("start") + F.sum("words").over(Window.partitionBy("_source").orderBy("u"))
+    taken = numbers.withColumn("upto", upto).where(2 * F.col("upto") - F.col("words") <= 2 * F.col("need"))
+    cuts = taken.groupBy("_source").agg(F.max("u").alias("u"))
+    # without a number that fits, all of the ranges before; without a crossing, all
+    cuts = crossed.join(cuts.withColumnRenamed("_source", "_own"), F.col("_source").eqNullSafe(F.col("_own")), "left").select(F.col("_source"), F.coalesce("u", F.shiftleft(F.col("range"), 16) - 1).alias("u"))
+    cut = F.when(F.col("need") > 0, F.coalesce("u", F.lit((1 << 32) - 1))).otherwise(-1)
+    return staged(wanted.join(F.broadcast(cuts) if fits(crossed) else cuts, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "source_size", "target", "times", cut.alias("cut")), "plans")
+
+
+def _planned(rows: DataFrame, plan: DataFrame, number: Column, name: str) -> DataFrame:
+    """``rows`` with the struct ``name``: source_size, target and copies of the row's source and ``number``."""
+    own, salt = unused(rows.columns, "own"), unused(rows.columns, "salt")
+    copies = (F.col("times") + F.when(number <= F.col("cut"), 1).otherwise(0)).alias("copies")
+    kept = F.struct("source", "source_size", "target", "times", "cut").alias(own)
+    if fits(plan):
+        joined = rows.join(F.broadcast(plan.select(kept)), F.col("source").eqNullSafe(F.col(f"{own}.source")), "left")
+    else:  # a source may hold a third of all rows
+        dealt = plan.select(kept, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(salt))
+        joined = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text") if "text" in rows.columns else F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+        joined = joined.withColumnRenamed(salt, salt + "_row").join(dealt, (F.col("source").eqNullSafe(F.col(f"{own}.source"))) & (F.col(salt) == F.col(salt + "_row")), "left").drop(salt, salt + "_row")
+    copies = F.col(f"{own}.times") + F.when(number <= F.col(f"{own}.cut"), 1).otherwise(0)
+    return joined.withColumn(name, F.struct(F.col(f"{own}.source_size").alias("source_size"), F.col(f"{own}.target").alias("target"), copies.cast("long").alias("copies"))).drop(own)
+
+
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
+    return staged(docs.select("doc_id", "source", size.alias("size"), draw(docs, seed).alias("u")), "sizes")
+
+
+def taken(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """``(doc_id, size, source_size, target, copies)`` for every row of ``docs(doc_id, text, source)``.
+
+    The text is read once. A source's rate is target / size. Each document is taken floor(rate) times, and once more if
+    a number made from the md5 of seed and doc_id lies below the fraction of the rate - exactly: below the place near it
+    at which the source's words come nearest to its target, within half a document. Reruns agree, and no document is
+    taken more than 3 times. Null texts have size 0; very long texts are counted whole; a null source is a source; rows
+    that repeat a doc_id fall alike, rows with a null doc_id by their texts; of sources equal in ``3 * size / weight``
+    none has precedence; an empty table stays empty; other columns are ignored.
+    """
+    sized = _sized(docs, seed)
+    out = _planned(sized, plans(sized), F.col("u"), "mix")
+    return out.select("doc_id", "size", "mix.source_size", "mix.target", "mix.copies")
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Each document as often as the mix takes it, with the columns of ``docs``."""
-    return with_copies(docs, seed).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix (``taken``) takes it, with the columns of ``docs`` as they are, whatever their names.
+
+    Null texts, null ids, ties, repeated rows, very long texts and empty tables are as in ``taken``.
+    """
+    name, copy = unused(docs.columns, "mix"), unused(docs.columns, "copy")
+    out = _planned(docs, plans(_sized(docs, seed)), draw(docs, seed), name)
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(f"{name}.copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same mix for DuckDB: doc_id, size, source_size, target, taken.
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 8) AS BIGINT) AS u FROM documents
 ), sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -75,11 +138,13 @@ WITH sized AS (
          row_number() OVER (ORDER BY cap / weight, place) AS turn FROM weighed
 ), targets AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM levels WHERE level <= cap / weight ORDER BY turn LIMIT 1) * weight) AS target FROM levels
-), rates AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target / t.source_size) ELSE 0.0::DOUBLE END AS rate,
-         CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS drawn
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), wanted AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(least(3, floor(target / source_size)) AS BIGINT) ELSE 0 END AS times FROM targets
+), needs AS (
+  SELECT *, CASE WHEN times < 3 THEN target - times * source_size ELSE 0.0::DOUBLE END AS need FROM wanted
+), numbers AS (
+  SELECT source, u, CAST(sum(size) AS BIGINT) AS words, CAST(sum(sum(size)) OVER (PARTITION BY source ORDER BY u) AS BIGINT) AS upto FROM sized GROUP BY source, u
 )
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rates
+SELECT d.doc_id, d.size, t.source_size, t.target, CAST(d.size * (t.times + CASE WHEN t.need > 0 AND 2 * n.upto - n.words <= 2 * t.need THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized d JOIN needs t ON d.source IS NOT DISTINCT FROM t.source JOIN numbers n ON d.source IS NOT DISTINCT FROM n.source AND d.u = n.u
 """

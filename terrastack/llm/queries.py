@@ -63,9 +63,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from terrastack.llm.mixing import with_copies
+    from terrastack.llm.mixing import taken
 
-    out = with_copies(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = taken(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
