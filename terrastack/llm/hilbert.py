@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrastack.llm.staging import staged
-
-#: Distinct values of a dimension up to this number (about 10 MB) are broadcast.
-BROADCAST_VALUES = 100_000
+from terrastack.llm.staging import fits, ranked
 
 
 def with_curve(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
@@ -51,47 +48,63 @@ def with_curve(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
 
 def ranked_values(df: DataFrame, column: str, bits: int) -> DataFrame:
     """``df`` with ``_<column>``: the rank of its value among the distinct ones (null last), scaled below 2**bits."""
-    every = Window.partitionBy()
-    values = df.groupBy(column).agg(F.lit(1).alias("one"))
-    place = F.row_number().over(every.orderBy(F.col(column).asc_nulls_last())) - 1
-    scaled = values.select(F.col(column).alias("_value"), F.floor(place * (1 << bits) / F.count(F.lit(1)).over(every)).cast("int").alias(f"_{column}"))
-    small = scaled.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    return df.join(F.broadcast(scaled) if small else scaled, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+    values = ranked(df.select(F.col(column).alias("_value")).distinct(), [F.col("_value").asc_nulls_last()], "values")
+    n = max(values.count(), 1)
+    scaled = values.select("_value", F.floor(F.col("rank") * (1 << bits) / n).cast("int").alias(f"_{column}"))
+    if fits(scaled):
+        return df.join(F.broadcast(scaled), F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+    # a value may hold a third of all rows: each is dealt in 16 parts
+    dealt = scaled.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    parts = df.withColumn("_own", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(16)).cast("int"))
+    return parts.join(dealt, F.col(column).eqNullSafe(F.col("_value")) & (F.col("_own") == F.col("_part")), "left").drop("_value", "_part", "_own")
+
+
+def _placed(docs: DataFrame, shards: int, bits: int, carry: bool) -> DataFrame:
+    """Columns of ``sharded`` for every row, with the row itself as struct ``_row`` if ``carry``."""
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if carry else []
+    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), *row)
+    meta = ranked_values(ranked_values(meta, "lang", bits), "source", bits)
+    meta = meta.withColumn("_size", F.least(F.floor(F.log2("size") * (1 << bits) / 32), F.lit((1 << bits) - 1)).cast("int"))
+    curve = with_curve(meta, ["_lang", "_source", "_size"], bits).select("doc_id", "size", "text_crc32", "curve", *(["_row"] if carry else []))
+    placed = ranked(curve, [F.col(c) for c in ("curve", "text_crc32", "size", "doc_id")], "runs")
+    total = placed.count()
+    out = placed.withColumn("shard", F.expr(f"rank * {shards} div {max(total, 1)}").cast("int"))
+    first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
+    return out.withColumns({"law": F.lit("rows"), "slot": (F.col("rank") - first).cast("long"), "grown_shard": F.lit(None).cast("int")})
+
 
+_NEW = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
 
-def sharded(docs: DataFrame, shards: int = 24, bits: int = 6) -> DataFrame:
+
+def sharded(docs: DataFrame, shards: int = 24, bits: int = 6, carry: bool = False) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve)`` for every row of ``docs``.
 
     Language, source and the logarithm of the size are quantised to ``bits`` bits each, rows are sorted by their
     Hilbert index (equal texts of one language and source together, by checksum), and the order is cut into runs: the
-    law is ``rows``, counts of shards differ by one at most. ``slot`` is the place in the shard, from 0 without gaps.
-    Size is the UTF-8 bytes of the text (null: none) plus 8. Null languages and sources rank last; repeated rows take
-    places of their own; fewer rows than shards leave some shards empty; an empty table stays empty. Texts are not
-    shuffled: only what is returned is sorted.
+    law is ``rows``, counts of shards differ by one at most. A group of equal texts is cut only where a
+    shard ends within it; its members of other languages or sources lie elsewhere on the curve. ``slot`` is the
+    place in the shard, from 0 without gaps. Size is the UTF-8 bytes of the text (null: none) plus 8. Null languages and
+    sources rank last; repeated rows, rows with a null id and other ties take places of their own, in any order among
+    themselves; fewer rows than shards leave some shards empty; an empty table stays empty; very long texts matter by
+    size and checksum only. Texts are not shuffled: only what is returned is sorted.
+
+    With ``carry`` the columns of ``docs`` come along, texts included, each row exactly once; the new columns
+    replace those of ``docs`` with their names, but for doc_id.
     """
-    text = F.col("text").cast("string")
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"))
-    meta = ranked_values(ranked_values(meta, "lang", bits), "source", bits)
-    meta = meta.withColumn("_size", F.least(F.floor(F.log2("size") * (1 << bits) / 32), F.lit((1 << bits) - 1)).cast("int"))
-    curve = with_curve(meta, ["_lang", "_source", "_size"], bits).select("doc_id", "size", "text_crc32", "curve")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["curve", "text_crc32", "size", "doc_id"]
-    runs = curve.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = staged(runs.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "runs")
-    # one row for each partition: no more than there are tasks
-    every = Window.partitionBy()
-    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    before = counts.select("part", F.coalesce(F.sum("rows").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("rows").over(every).alias("total"))
-    out = placed.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("place"))
-    out = out.withColumn("shard", F.expr(f"rank * {shards} div total").cast("int"))
-    first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Documents as one folder a shard, each file a run of the curve in order: readers prune files by any dimension."""
-    placed = sharded(docs, shards).select("doc_id", "text_crc32", "shard", "slot")
-    rows = docs.withColumn("text_crc32", F.coalesce(F.crc32(F.col("text").cast("string")), F.lit(0)).cast("long"))
-    joined = rows.join(placed, ["doc_id", "text_crc32"]).drop("text_crc32")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed = _placed(docs, shards, bits, carry)
+    old = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in _NEW] if carry else [F.col("doc_id")]
+    return placed.select(*old, *_NEW)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 24, bits: int = 6, rows: int = 1_000_000) -> None:
+    """Documents as one folder a shard (``shard=<n>``), each file a run of at most ``rows`` rows of the curve in order.
+
+    Readers prune files by language, source or size. Every row is written exactly once, with the columns of ``docs`` as
+    they are and its ``slot``: rows carry what they hold to their places, so repeated rows and null ids need no
+    key. Only columns of ``docs`` named ``shard`` and ``slot`` are replaced.
+    """
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    runs = _placed(docs, shards, bits, True).select(*own, "shard", "slot")
+    runs.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows).partitionBy("shard").parquet(path)

@@ -24,6 +24,43 @@ def test_urls(spark):
     assert url_filter.filtered(df, entries.limit(0)).where("blocked").isEmpty() and url_filter.filtered(df.limit(0), entries).isEmpty()
 
 
+def brute_active(url, day, entries):
+    """Entries of the list that hold for a URL on a day, one by one."""
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+    if not m or not m[1] or day is None:
+        return 0
+    own, path = m[1].lower(), re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?", url)[1] or ""
+    n = 0
+    for key in {e[0] for e in entries if e[0] is not None}:
+        domain, slash, steps = key.partition("/")
+        if not (own == domain or own.endswith("." + domain)) or slash and not (path == "/" + steps or path.startswith("/" + steps + "/")):
+            continue
+        past = [(d, a) for k, d, a in entries if k == key and d is not None and d <= day]
+        n += bool(past) and max((d, a) for d, a in past)[1] == "block"
+    return n
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_urls_equal_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        from terrastack.llm import staging
+
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+    rng = random.Random(4)
+    name = lambda n: ".".join(rng.choice("abc") for _ in range(rng.randint(1, n)))
+    steps = lambda n: "".join("/" + rng.choice(["x", "y", "z.html"]) for _ in range(rng.randint(0, n)))
+    day = lambda: dt.date(2024, 1, rng.randint(1, 28))
+    entries = [(name(4) + steps(3), day(), rng.choice(["block", "block", "unblock"])) for _ in range(60)]
+    urls = [(f"http://{name(6)}.c{rng.choice(['', ':80'])}{steps(5)}{rng.choice(['', '/', '?q=/x', '#/x'])}".replace(".c", rng.choice(["", ".c"]), 1), day()) for _ in range(400)]
+    urls += [("http://" + "a." * 300 + "b" + "/x" * 3000, day()), ("http://a..b/x//y", day()), ("ftp://A.B/X", day()), ("http://", day())]
+    urls += urls[:5]
+    df = spark.createDataFrame(urls, "url string, fetched date").withColumn("same_url", F.lit("mine"))
+    got = url_filter.filtered(df, spark.createDataFrame(entries, "key string, day date, action string"))
+    want = sorted((u, d, brute_active(u, d, entries)) for u, d in urls)
+    assert sorted((r.url, r.fetched, r.n_active) for r in got.collect()) == want and sum(w[2] > 0 for w in want) > 50
+    assert {r.same_url for r in got.collect()} == {"mine"}
+
+
 @pytest.fixture(scope="module")
 def leaky(spark):
     rng = random.Random(8)
@@ -99,27 +136,62 @@ def brute_targets(sizes):
         open_ -= full
 
 
-def test_mixing(spark, docs, texts, empty):
-    got = mixing.with_copies(docs).collect()
-    sizes, by = {}, {}
-    for i, t in enumerate(texts):
-        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-        by[i] = n
-        s = ["a", "b", "c", None][i % 4]
-        sizes[s] = sizes.get(s, 0) + n
-    want = brute_targets(sizes)
-    for r in got:
-        assert r.size == by[r.doc_id] and r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.copies <= 3
-    assert sorted(map(str, got)) == sorted(map(str, mixing.with_copies(docs.repartition(2)).collect()))
-    out = mixing.mix(docs)
-    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
-    assert mixing.with_copies(empty).count() == 0 and mixing.mix(empty).count() == 0
-
-
-def test_many_documents_come_near_their_targets(spark):
-    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(id % 17 as int))").alias("text"), F.concat(F.lit("s"), (F.col("id") % 5 * (F.col("id") % 3)).cast("string")).alias("source"))
-    sums = mixing.with_copies(df).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target")).collect()
-    assert all(abs(r.taken - r.target) < 0.05 * r.target for r in sums)
+def brute_mix(rows):
+    """Words of each source, targets and copies of each row, by the definition: nearest to the target along the draws."""
+    import hashlib
+
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    draw = [int(hashlib.md5(("mix|" + (str(i) if i is not None else hashlib.md5((t or "").encode()).hexdigest())).encode()).hexdigest()[:8], 16) for i, t, _ in rows]
+    sums = {}
+    for n, (_, _, s) in zip(size, rows):
+        sums[s] = sums.get(s, 0) + n
+    target, out = brute_targets(sums), []
+    for s, total in sums.items():
+        times = min(3, int(target[s] // total)) if total else 0
+        need, upto, cut = target[s] - times * total if times < 3 else 0, 0, -1
+        for u in sorted({d for d, r in zip(draw, rows) if r[2] == s}):
+            words = sum(n for n, d, r in zip(size, draw, rows) if r[2] == s and d == u)
+            upto += words
+            if need > 0 and 2 * upto - words <= 2 * need + 1e-6:
+                cut = u
+        out += [(i, n, total, round(target[s], 6), times + (d <= cut)) for n, d, (i, _, x) in zip(size, draw, rows) if x == s]
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mixing_equals_brute_force(spark, docs, texts, empty, monkeypatch, broadcast):
+    if not broadcast:
+        from terrastack.llm import staging
+
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+    rows = [(i, t, ["a", "b", "c", None][i % 4]) for i, t in enumerate(texts)] + [(None, texts[4], "a"), (None, texts[5], "a"), (7, texts[7], "d"), (7, texts[7], "d"), (900, "", "e"), (901, "w " * 600_000, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    key = lambda r: tuple(map(str, r))
+    got = [(r.doc_id, r["size"], r.source_size, round(r.target, 6), r.copies) for r in mixing.taken(df).collect()]
+    assert sorted(got, key=key) == sorted(brute_mix(rows), key=key)
+    want = {}
+    for row, copies in zip(sorted(brute_mix(rows), key=key), (x[4] for x in sorted(brute_mix(rows), key=key))):
+        want[row[0], row[1]] = want.get((row[0], row[1]), 0) + copies
+    out = {}
+    for r in mixing.mix(df).collect():
+        k = r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        out[k] = out.get(k, 0) + 1
+    assert out == {k: v for k, v in want.items() if v}
+    assert mixing.taken(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_mix_keeps_the_columns_of_its_input(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", f"mine{i}", 7) for i in range(4)], "doc_id long, text string, source string, size string, copy int")
+    df = df.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("source_of_target", "target", "source_size", "copies", "mix", "Own", "cut", "times", "u")})
+    got = mixing.mix(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_words_come_near_their_targets(spark):
+    """Few documents of very different lengths: each source ends within a document of its target."""
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + pow(id % 13, 3) as int))").alias("text"), F.concat(F.lit("s"), (F.col("id") % 20).cast("string")).alias("source"))
+    sums = df.select("doc_id", "source").join(mixing.taken(df), "doc_id").groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.max("target").alias("target"), F.max("size").alias("longest"), F.max("copies").alias("most")).collect()
+    assert len(sums) == 20 and all(abs(r.words - r.target) <= r.longest / 2 + 1 and r.most <= 3 for r in sums)
 
 
 def test_targets_are_capped(spark):
@@ -153,8 +225,41 @@ def test_shards(spark, docs, texts, empty, tmp_path):
     assert hilbert.sharded(empty).count() == 0
     few = hilbert.sharded(docs.limit(5)).collect()
     assert len({r.shard for r in few}) == 5 and {r.slot for r in few} == {0}
-    hilbert.write_shards(docs.drop("part", "rank", "curve", "size"), str(tmp_path / "out"), 4)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(texts)
+
+
+def test_quantised_values_equal_plain_ranks(spark, monkeypatch):
+    values = ["é", "b", None, "a", "B", "b", "zz", ""] * 3
+    df = spark.createDataFrame([(i, v, i) for i, v in enumerate(values)], "doc_id long, v string, text_crc32 long")
+    names = sorted({v for v in values if v is not None}, key=lambda v: v.encode()) + [None]
+    for most in (1 << 20, -1):
+        from terrastack.llm import staging
+
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", most)
+        got = hilbert.ranked_values(df, "v", 2).collect()
+        assert len(got) == len(values) and all(r._v == names.index(r.v) * 4 // len(names) for r in got)
+
+
+def test_written_shards_hold_every_row_once_and_can_be_pruned(spark, docs, texts, tmp_path):
+    """Repeated rows, null ids and columns named like the operator's own, value by value."""
+    more = spark.createDataFrame([(None, "lost?", None, None, 5)] * 2 + [(3, "x y", "en", "a", 3)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    df = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more).withColumns({"size": F.concat(F.lit("s"), "n_chars"), "rank": F.lit("mine"), "curve": F.lit("mine"), "text_crc32": F.lit("mine")})
+    hilbert.write_shards(df, str(tmp_path / "out"), 4, rows=5)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, got.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    per = {}
+    for r in got.select("shard", "slot", F.input_file_name().alias("file"), "source", "lang").collect():
+        per.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in per.values()) and len(per) == 4
+    files = {}
+    for r in (r for v in per.values() for r in v):
+        files.setdefault(r.file, []).append(r)
+    assert all(max(r.slot for r in v) - min(r.slot for r in v) == len(v) - 1 <= 4 for v in files.values())  # runs
+    for column in ("lang", "source"):  # a filter on any dimension leaves files out
+        values = {getattr(r, column) for v in files.values() for r in v}
+        opened = [sum(any(getattr(r, column) == x for r in v) for v in files.values()) / len(files) for x in values]
+        assert sum(opened) / len(opened) < 0.6, (column, opened)
+    whole = hilbert.sharded(df, 4, carry=True)
+    assert whole.count() == df.count() and whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "rank", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve"]
 
 
 def test_trees_learn_and_score_in_blocks():
