@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 from terrastack.llm.staging import staged
 from terrastack.llm.textkit import buffer, ngrams, runs_of_rows, word_hashes, words
 
 #: Bytes of test items that are broadcast at a time; a larger benchmark is searched in several passes.
 ITEM_BYTES = 16 << 20
 MISMATCH, GAP = -0.5, -0.5
+#: Pairs of equal n-grams that are held at a time.
+PAIRS = 1 << 22
 
 #: Everything but ASCII letters and digits and bytes of longer UTF-8 sequences separates words here: punctuation is no evidence.
 _SEPARATOR = np.ones(256, bool)
@@ -55,14 +56,25 @@ class Items:
     def keep(self, mask: np.ndarray) -> Items:
         return Items(self.ids, self.first, self.word, self.gram[mask], self.item[mask], self.at[mask])
 
-    def hits(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index into ``gram``, index into the item n-grams) of equal hashes."""
+    def hits(self, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (index into ``gram``, index into the item n-grams) of equal hashes, about ``PAIRS`` at a time."""
         lo, hi = np.searchsorted(self.gram, gram, "left"), np.searchsorted(self.gram, gram, "right")
-        n = hi - lo
-        some = np.flatnonzero(n)
-        which = np.repeat(some, n[some])
-        start = np.repeat(lo[some] - np.concatenate(([0], np.cumsum(n[some])[:-1])), n[some])
-        return which, start + np.arange(len(which))
+        some = np.flatnonzero(hi > lo)
+        for a, b in runs_of_rows(np.concatenate(([0], np.cumsum((hi - lo)[some]))), PAIRS):
+            part = some[a:b]
+            n = (hi - lo)[part]
+            start = np.repeat(lo[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            yield np.repeat(part, n), start + np.arange(len(start))
+
+    def whole(self, fewest: int) -> dict[int, dict[int, list[int]]]:
+        """Items of fewer than ``fewest`` words: by length and hash of all their words."""
+        out: dict[int, dict[int, list[int]]] = {}
+        size = np.diff(self.first)
+        for i in np.flatnonzero((size > 0) & (size < fewest)).tolist():
+            words_ = self.word[self.first[i] : self.first[i + 1]]
+            h, _ = ngrams(words_, np.zeros(len(words_), np.int64), len(words_))
+            out.setdefault(len(words_), {}).setdefault(int(h[0]), []).append(i)
+        return out
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -91,34 +103,46 @@ def shared(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
 def matches(word: np.ndarray, row: np.ndarray, rows: int, items: Items, n: int, least: float) -> list[tuple[int, int, float, int]]:
     """(row, item, share of the item's words that align, first word of the window) for texts given as words."""
     gram, at = ngrams(word, row, n)
-    which, seed = items.hits(gram)
-    if not len(which):
-        return []
     begin = np.searchsorted(row, np.arange(rows + 1))
-    item, place = items.item[seed], at[which]
-    size = items.first[item + 1] - items.first[item]
-    text = row[place]
-    block = (place - items.at[seed] - begin[text]) // size  # the diagonal, in lengths of the item
-    found = np.unique(np.stack((item, text, block), axis=1), axis=0)
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for i in np.unique(found[:, 0]):
+    places = []
+    for which, seed in items.hits(gram):
+        item, place = items.item[seed], at[which]
+        text = row[place]
+        block = (place - items.at[seed] - begin[text]) // (items.first[item + 1] - items.first[item])  # the diagonal, in lengths of the item
+        places.append(np.unique(np.stack((item, text, block), axis=1), axis=0))
+    if not places:
+        return []
+    found = places[0] if len(places) == 1 else np.unique(np.concatenate(places), axis=0)
+    out = []
+    for mine in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1):
+        i = int(mine[0, 0])
         own = items.word[items.first[i] : items.first[i + 1]]
-        mine = found[found[:, 0] == i]
-        m, width = len(own), 3 * len(own)
-        for a in range(0, len(mine), max(1, (1 << 21) // width)):
-            part = mine[a : a + max(1, (1 << 21) // width)]
-            start = begin[part[:, 1]] + (part[:, 2] - 1) * m + m // 2
+        m, width = len(own), 4 * len(own)  # an alignment of half the words or more strays by less than m on either side
+        step = max(1, (1 << 21) // width)
+        for a in range(0, len(mine), step):
+            part = mine[a : a + step]
+            start = begin[part[:, 1]] + (part[:, 2] - 1) * m
             index = start[:, None] + np.arange(width)
             inside = (index >= begin[part[:, 1]][:, None]) & (index < begin[part[:, 1] + 1][:, None])
             windows = np.where(inside, word[np.clip(index, 0, len(word) - 1)], np.uint64(0))
             able = shared(own, windows) >= least * m
             part, start, windows = part[able], start[able], windows[able]
-            for (_, r, _), score, s in zip(part.tolist(), align(own, windows).tolist(), (start - begin[part[:, 1]]).tolist()):
-                if score >= least * m:
-                    old = best.get((r, int(i)))
-                    if old is None or (score / m, -max(s, 0)) > (old[0], -old[1]):
-                        best[r, int(i)] = (score / m, max(s, 0))
-    return [(r, i, score, s) for (r, i), (score, s) in sorted(best.items())]
+            score = align(own, windows)
+            ok = score >= least * m
+            first = np.maximum(start - begin[part[:, 1]], 0)
+            out += [(r, i, float(x) / m, f) for r, x, f in zip(part[ok, 1].tolist(), score[ok].tolist(), first[ok].tolist())]
+    return out
+
+
+def copies(word: np.ndarray, row: np.ndarray, rows: int, whole: dict[int, dict[int, list[int]]]) -> list[tuple[int, int, float, int]]:
+    """Like ``matches``, for short items: whole copies only."""
+    begin, out = np.searchsorted(row, np.arange(rows + 1)), []
+    for m, known in whole.items():
+        gram, at = ngrams(word, row, m)
+        for j in np.flatnonzero(np.isin(gram, np.fromiter(known, np.uint64, len(known)))).tolist():
+            r = int(row[at[j]])
+            out += [(r, i, 1.0, int(at[j] - begin[r])) for i in known[int(gram[j])]]
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, fewest: int = 8) -> DataFrame:
@@ -127,10 +151,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
     Words are runs of letters and digits, lower-cased. Every n-gram of an item is a seed, however common. Around every
     seed shared with a document the item is aligned with the document's words, unless the words there have too few in
     common with the item for the least score; ``score`` is the best alignment score as a share of the item's words,
-    ``least`` or more.
-    Whole texts are searched. Items of fewer than ``fewest`` words, or
-    null ones, are too short to be evidence and match nothing; null texts hold nothing. One row per document and
-    item; rows that repeat a doc_id may both report. Items of one id are all searched.
+    ``least`` or more; of equal scores the first window counts. Items of fewer than ``fewest`` words are too
+    short for edited copies to be evidence: they match where all their words follow each other (score 1).
+
+    Whole texts are searched, very long ones too. Null or empty items match nothing; null texts hold nothing. One row per
+    row of ``docs`` and item_id; rows that repeat a doc_id may each report; items of one id are all searched. Empty
+    tables give an empty result; other columns are ignored.
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -157,17 +183,26 @@ def _search(texts: DataFrame, items: Items, n: int, least: float, fewest: int) -
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Items(*sent.value)
+        whole = seeds.whole(fewest)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            found = [(ids[a + r], i, score, s) for a, b, word, row in _texts(batch) for r, i, score, s in matches(word, row, b - a, seeds, n, least)]
-            columns = list(zip(*found)) or [[], [], [], []]
-            names = seeds.ids[np.array(columns[1], np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(names), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64())], names=["doc_id", "item_id", "score", "start_word"])
+            ids, best = batch.column(0).to_pylist(), {}
+            for a, b, word, row in _texts(batch):
+                for r, i, score, start in matches(word, row, b - a, seeds, n, least) + copies(word, row, b - a, whole):
+                    key = a + r, int(seeds.ids[i])
+                    if key not in best or (score, -start) > best[key]:
+                        best[key] = score, -start
+            rows = sorted(best)
+            columns = [ids[r] for r, _ in rows], [i for _, i in rows], [best[k][0] for k in rows], [-best[k][1] for k in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64())], names=["doc_id", "item_id", "score", "start_word"])
 
     return texts.mapInArrow(find, "doc_id long, item_id long, score double, start_word long")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; those with a null doc_id stay."""
+    """``docs`` without the documents that hold a test item; those with a null doc_id stay.
+
+    Of rows that repeat a doc_id all go if one holds an item. Nulls, ties, very long texts and empty tables are as in
+    ``contaminated``; all columns of ``docs`` are kept as they are.
+    """
     found = staged(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
