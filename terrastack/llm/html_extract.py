@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,7 @@ def _holds(nodes: list[Node], main: int) -> np.ndarray:
     return y
 
 
+@lru_cache
 def train(pages: int = 500, seed: int = 11) -> Trees:
     """Fit on made-up pages labelled by construction: no page of the corpus is needed."""
     x, y = labelled(pages, seed)
@@ -231,8 +233,9 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
     Character references are decoded, white space inside a block is one space, blocks are joined by a line feed in page
-    order. A null or empty page, or one without main text, has an empty text. Repeated rows are read alike; an empty
-    table stays empty; other columns are ignored.
+    order. A null or empty page, or one without main text, has an empty text. Very long pages are read whole; of
+    choices of equal odds the one that drops wins. Repeated rows are read alike; an empty table stays empty; other
+    columns are ignored.
     """
     trees = trees or train()
 

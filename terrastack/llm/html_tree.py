@@ -7,12 +7,14 @@ import re
 
 # Fixed names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select title head".split())
+#: Elements whose content is no text. Of those without an end tag the first two go on to the end of the page (as HTML says), of the others only the tag goes.
+RAW = frozenset("script style textarea title iframe template select svg".split())
+ENDLESS = frozenset("script style".split())
 BLOCK = frozenset(
-    "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog hgroup center menu search label button option".split()
+    "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog hgroup center menu search label button option noscript".split()
 )
 #: Start tags that end an open paragraph.
-ENDS_P = BLOCK - frozenset("label button option html body td th tr thead tbody tfoot caption".split()) | {"hr"}
+ENDS_P = BLOCK - frozenset("label button option noscript html body td th tr thead tbody tfoot caption".split()) | {"hr"}
 #: Start tags that end an open element of the same group.
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Ends of those groups: an open element beyond these isn't touched.
@@ -20,7 +22,6 @@ BOUND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 _TOKEN = re.compile(r"<!--|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"'])*+|[^>]*)>|<[!?][^>]*>")
 _ATTRIBUTE = re.compile(r"\b(id|class|role|itemprop|property|rel|hidden|style|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_SPACES = re.compile(r"\s+")
 
 
 class Node:
@@ -92,15 +93,13 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     flush()
             continue
         if tag in RAW:
-            if tag == "head":
-                flush()
-                body = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
-                at = n if body is None else body.end() if body[0][1] == "/" else body.start()
-            elif not m[3].endswith("/"):
+            if not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = n if end is None else end.end()
+                at = end.end() if end else n if tag in ENDLESS else at
             continue
-        if tag == "br":
+        if tag in ("html", "head"):
+            flush()
+        elif tag == "br":
             pieces.append(" ")
         elif tag in BLOCK or tag == "hr":
             flush()
@@ -118,8 +117,6 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                         break
                     if stack[i].tag in BOUND[tag]:
                         break
-            if tag == "html":
-                continue
             tokens = " ".join(v.strip("\"'").lower() for _, v in _ATTRIBUTE.findall(m[3])) if m[3] else ""
             if tag != "hr":
                 node = Node(tag, tokens, stack[-1])
