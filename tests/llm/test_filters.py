@@ -80,6 +80,7 @@ def test_leaks_are_found_and_clean_documents_are_not(leaky):
     docs, bench = leaky
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(40, 0), (41, 1), (42, 2), (43, 3), *((44 + i, 4) for i in range(30))}
+    assert decontaminate.contaminated(docs, bench).count() == len(got)
     kept = decontaminate.decontaminated(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {*range(40), 74, 75}
 
@@ -95,6 +96,51 @@ def test_edited_copies_are_found_however_common(spark):
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == set(range(21))
 
 
+def plain_score(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1))
+    for i in range(len(a)):
+        for j in range(len(b)):
+            h[i + 1, j + 1] = max(0, h[i, j] + (1 if a[i] == b[j] else decontaminate.MISMATCH), h[i, j + 1] + decontaminate.GAP, h[i + 1, j] + decontaminate.GAP)
+    return h.max()
+
+
+def test_found_pairs_equal_brute_force(spark, monkeypatch):
+    """Every pair of a text and an item by plain Smith-Waterman over the whole text, with a 4-gram in common; short items by copies."""
+    rng = random.Random(21)
+    word = lambda: rng.choice("abcdefgh")  # noqa: E731  few words: many seeds, and scores on both sides of the limit
+    items = [[word() for _ in range(rng.randint(8, 16))] for _ in range(10)] + [["one", "two", "three"], ["h", "a", "h"], ["zz"]]
+    texts = []
+    for _ in range(70):
+        text = [word() + rng.choice(["", "x", "y"]) for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 2)):
+            at, item = rng.randint(0, len(text)), list(rng.choice(items))
+            for _ in range(rng.randint(0, 6)):
+                k = rng.randrange(len(item) + 1)
+                item[k : k + rng.randint(0, 1)] = ["q"] * rng.randint(0, 2)
+            text[at:at] = item
+        texts.append(text)
+    texts += [["one", "two", "three"], ["one", "two", "x", "three"], ["ZZ"]]
+
+    def grams(x, n):
+        return {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+
+    want = {}
+    for d, text in enumerate(texts):
+        text = [w.lower() for w in text]
+        for i, item in enumerate(items):
+            if len(item) < 8:
+                if tuple(item) in grams(text, len(item)):
+                    want[d, i] = 1.0
+            elif grams(text, 4) & grams(item, 4) and (score := plain_score(item, text) / len(item)) >= 0.5:
+                want[d, i] = round(score, 6)
+    docs = spark.createDataFrame([(d, ", ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    for pairs in (1 << 22, 16):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        assert {(r.doc_id, r.item_id): round(r.score, 6) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert 40 < len(want) < 600
+
+
 def test_no_alignment_scores_more_than_the_words_in_common():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -114,11 +160,7 @@ def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(0)
     for _ in range(30):
         a, b = rng.integers(0, 6, 9), rng.integers(0, 6, 14)
-        h = np.zeros((10, 15))
-        for i in range(9):
-            for j in range(14):
-                h[i + 1, j + 1] = max(0, h[i, j] + (1 if a[i] == b[j] else decontaminate.MISMATCH), h[i, j + 1] + decontaminate.GAP, h[i + 1, j] + decontaminate.GAP)
-        assert abs(decontaminate.align(a, b[None])[0] - h.max()) < 1e-5
+        assert abs(decontaminate.align(a, b[None])[0] - plain_score(a, b)) < 1e-5
 
 
 def brute_targets(sizes):
@@ -320,30 +362,49 @@ def test_main_text(spark, trees):
     assert html_extract.extract(df.limit(0), trees).count() == 0
 
 
-def test_no_kept_block_below_a_dropped_node(trees):
-    rng = np.random.default_rng(5)
-    for _ in range(40):
-        _, nodes = html_tree.parse(html_extract.labelled_page(rng))
+def test_decoding_equals_an_exhaustive_search():
+    """Of all choices without a kept node below a dropped one, the decoded one has the largest sum of odds."""
+    import itertools
+
+    rng, pages = np.random.default_rng(5), random.Random(5)
+    tried = 0
+    while tried < 60:
+        def tree(depth):
+            inner = "".join(tree(depth - 1) for _ in range(pages.randint(0, 3))) if depth else ""
+            return f"<div>{'words ' * pages.randint(0, 3)}{inner}</div>"
+
+        _, nodes = html_tree.parse(tree(3))
+        if not 4 <= len(nodes) <= 13:
+            continue
+        tried += 1
         odds = rng.normal(size=len(nodes))
-        kept = html_extract.decode(nodes, odds)
-        best = lambda mask: sum((1 if mask[i] else -1) * odds[i] * (np.log1p(len(x.text)) if x.text else 1) for i, x in enumerate(nodes))
-        alive = kept.copy()
-        for i in range(len(nodes) - 1, 0, -1):
-            if alive[i]:
-                alive[nodes[i].parent.index] = True
-        assert best(alive) <= best_value(nodes, odds) + 1e-6
+        weight = [odds[i] * (np.log1p(len(x.text)) if x.text else 1) for i, x in enumerate(nodes)]
+        legal = [m for m in itertools.product((False, True), repeat=len(nodes)) if all(x.parent is None or not m[i] or m[x.parent.index] for i, x in enumerate(nodes))]
+        best = max(legal, key=lambda m: sum(w if k else -w for w, k in zip(weight, m)))
+        assert html_extract.decode(nodes, odds).tolist() == [k and bool(x.text) for k, x in zip(best, nodes)]
+
 
+PARAGRAPH = "A long enough paragraph of main text stands in this article, and it goes on for a while, as such paragraphs do."
 
-def best_value(nodes, odds):
-    w = [odds[i] * (np.log1p(len(x.text)) if x.text else 1) for i, x in enumerate(nodes)]
 
-    def down(x):
-        return -w[x.index] + sum(map(down, x.children))
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><article><h1>Head</h1><p>{0}</p></article>",  # implied ends of head and html
+        "<head><meta charset=x><article><h1>Head</h1><p>{0}</p></article>",
+        "<html><body><article><h1>Head</h1><svg><p>{0}</p></article></body></html>",  # elements that never end
+        "<body><article><h1>Head</h1><object data=x><p>{0}</p></article>",
+        "<body><article><h1>Head</h1><iframe src=x><p>{0}</p><select></article>",
+        "<body><article><h1>Head</h1><svg><text>drawn</text></svg><p>{0}</p></article><script>var x = 1;",
+    ],
+)
+def test_text_is_not_lost_to_unclosed_elements(trees, page):
+    assert html_extract.blocks_of(page.format(PARAGRAPH), trees) == ["Head", PARAGRAPH]
 
-    def best(x):
-        return max(down(x), w[x.index] + sum(map(best, x.children)))
 
-    return best(nodes[0])
+def test_formulas_are_text(trees):
+    page = f"<body><article><h1>Head</h1><p>{PARAGRAPH} So <math><mi>a</mi><mo>+</mo><mi>b</mi></math> holds.</p><p>{PARAGRAPH}</p></article></body>"
+    assert html_extract.blocks_of(page, trees) == ["Head", f"{PARAGRAPH} So a+b holds.", PARAGRAPH]
 
 
 def test_held_out_pages(trees):
