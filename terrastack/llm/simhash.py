@@ -8,8 +8,9 @@ the number of candidates each choice would cost. A threshold of -1 leaves a part
 2 meets at values that both sides reach by flipping up to one bit.
 
 Equal fingerprints are one node, so groups of copies cost one row. Rows of a bucket are linked in the task that
-holds it, by a search that drops each fingerprint as soon as it is reached; only a spanning forest leaves the
-task, never all pairs.
+holds it; only a spanning forest leaves the task, never all pairs. Buckets of more than ``CHUNK`` rows, known
+by the keys of a share of all nodes, are dealt in chunks, and each pair of chunks is a task's work of its own: no task holds
+a bucket that grows with the corpus, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrastack.llm.components import connected_components, local_components
-from terrastack.llm.staging import staged
+from terrastack.llm.staging import fits, looked_up, staged
 from terrastack.llm.textkit import buffer
 
 SEED = 42
-#: Candidates up to this number (about 10 MB) are broadcast to find their texts; more are joined by shuffle.
-BROADCAST_NODES = 100_000
+#: Rows of a bucket beyond which it is dealt, and the share of nodes (one in so many) by which buckets are measured.
+CHUNK, MEASURED = 1024, 8
 
 
 def shingles_of(text: bytes, shingle: int) -> list[bytes]:
@@ -125,10 +126,22 @@ def group_bits(n: int, together: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def bit_entropy(n: int, together: np.ndarray, part: list[int]) -> float:
-    """Estimated probability that two rows agree in all bits of ``part``: of independent bits, but correlation counts."""
-    p = np.diag(together)[part] / max(n, 1)
-    return float(np.prod(p * p + (1 - p) * (1 - p)))
+def agreement(n: int, together: np.ndarray, part: list[int]) -> float:
+    """Estimated probability that two rows agree in all bits of ``part``.
+
+    Counted over all rows for every two bits; a whole part follows along the tree of its strongest dependencies (each
+    bit given the one before it that tells most about it), so bits that go together aren't taken for independent.
+    """
+    p11 = together / max(n, 1)
+    p = np.diag(p11)
+    p10 = p[:, None] - p11
+    p01 = p[None, :] - p11
+    both = p11**2 + p10**2 + p01**2 + (1 - p11 - p10 - p01) ** 2  # two rows agree in bits i and j
+    one = np.diag(both)
+    out = float(one[part[0]])
+    for i, b in enumerate(part[1:], 1):
+        out *= float(min(1.0, (both[b, part[:i]] / one[part[:i]]).max()))
+    return out
 
 
 def thresholds(tau: int, agree: list[float], widths: list[int], n: int) -> list[int]:
@@ -159,7 +172,7 @@ def plan(tau: int, n: int, together: np.ndarray) -> list[tuple[list[int], int]]:
     best = None
     for m in range(1, 13):
         parts = group_bits(n, together, m)
-        agree = [max(bit_entropy(n, together, p), 2.0 ** -len(p)) for p in parts]
+        agree = [max(agreement(n, together, p), 2.0 ** -len(p)) for p in parts]
         chosen = thresholds(tau, agree, [len(p) for p in parts], max(n, 2))
         if not chosen:
             continue
@@ -231,14 +244,24 @@ def forest(f: np.ndarray, tau: int, most: int | None = None, probed: int | None
 
 
 def dense(f: np.ndarray, tau: int, most: int | None = None, probed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a bucket of moderate size as stars of its components: all pairs at once, as a matrix."""
-    near = np.bitwise_count(f[:, 0][:, None] ^ f[:, 0]) <= tau
-    for w in range(1, probed or f.shape[1]):
-        near |= np.bitwise_count(f[:, w][:, None] ^ f[:, w]) <= tau
-    u, v = np.nonzero(np.triu(near, 1))
-    if most is not None and len(u):
-        ok = apart(f[u], f[v]).sum(axis=1, dtype=np.int64) <= most
-        u, v = u[ok], v[ok]
+    """The links of a bucket as stars of its components: all pairs as matrices, some rows at a time."""
+    us, vs = [], []
+    for at in range(0, len(f), 256):
+        x, y = f[at : at + 256], f[at:]
+        near = np.bitwise_count(x[:, 0][:, None] ^ y[:, 0]) <= tau
+        for w in range(1, probed or f.shape[1]):
+            near |= np.bitwise_count(x[:, w][:, None] ^ y[:, w]) <= tau
+        u, v = np.nonzero(np.triu(near, 1))
+        if most is not None and len(u):
+            ok = apart(x[u], y[v]).sum(axis=1, dtype=np.int64) <= most
+            u, v = u[ok], v[ok]
+        if len(u) > len(f):  # of many links a tree is enough
+            root = local_components(len(y), u, v)
+            v = np.flatnonzero(root != np.arange(len(y)))
+            u = root[v]
+        us.append(u + at)
+        vs.append(v + at)
+    u, v = np.concatenate(us), np.concatenate(vs)
     if not len(u):
         return u, v
     root = local_components(len(f), u, v)
@@ -264,19 +287,26 @@ def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int |
                     keys, index = keys_of(cols[1 + word].view(np.uint64), parts, 12 * word)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[index]) for c in cols)], names=["key", "node", *names])
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in probe(batches):
+            yield batch.select(["key"])
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # of the last bucket
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)], axis=1)
             if not len(rows):
                 continue
-            rows = np.concatenate([*held, rows]) if held else rows
-            last = int(np.argmax(rows[:, 0] == rows[-1, 0]))
-            held = [rows[last:]]
+            if held and rows[0, 0] != held[0][0, 0]:
+                yield from buckets(np.concatenate(held))
+                held = []
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             if last:
-                yield from buckets(rows[:last])
+                yield from buckets(np.concatenate([*held, rows[:last]]))
+                held = []
+            held.append(rows[last:])
         if held:
-            yield from buckets(held[0])
+            yield from buckets(np.concatenate(held))
 
     def buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
@@ -297,7 +327,7 @@ def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int |
             a.append(rows[at[near], 1])
             b.append(rows[at[near] + d, 1])
         for i in np.flatnonzero(size > 16):
-            u, v = (dense if size[i] <= 1024 else forest)(f[starts[i] : ends[i]], tau, most, probed)
+            u, v = (dense if size[i] <= 4 * CHUNK else forest)(f[starts[i] : ends[i]], tau, most, probed)
             if len(u):
                 own = rows[starts[i] : ends[i], 1]
                 a.append(own[u])
@@ -307,8 +337,18 @@ def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int |
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     schema = "key long, node long, " + ", ".join(f"{x} long" for x in names)
+    measured = nodes.where(F.pmod(F.xxhash64("node", *names), F.lit(MEASURED)) == 0).select("node", *names).mapInArrow(measure, "key long")
+    large = measured.groupBy("key").agg((F.count(F.lit(1)) * MEASURED).alias("rows")).where(F.col("rows") > CHUNK)
+    large = staged(large.select("key", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "large")
     rows = nodes.select("node", *names).mapInArrow(probe, schema)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+    if large.isEmpty():
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+    # by the key a bucket would be hot itself: what isn't broadcast is joined in parts
+    dealt = looked_up(rows, large, ["key"], ["node"]).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pair = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.select(pair.alias("key"), "node", *names)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int = 1, most: int | None = None, probed: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,16 +358,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int
     space (a shorter text is one shingle; one without words, or null, has fingerprint zero and links like any other).
     Fingerprints that differ in at most ``tau`` bits link; ``component_id`` is the smallest id reachable, itself
     included. With ``count`` > 1 the first ``probed`` of that many fingerprints are probed, and a link differs in ``most``
-    bits of all together. Repeated rows give
-    repeated results; an empty table an empty one; a null id takes part but is never the smallest of a group with
-    other ids. Other columns of ``docs`` are ignored.
+    bits of all together. Repeated rows give repeated results; an empty table an empty one; a null id takes part but is
+    never the smallest of a group with other ids. Very long texts are counted whole, in pieces; a bit that is
+    set in half of the hashes is 0. Other columns of ``docs`` are ignored.
     """
     names = [f"f{i}" for i in range(count)]
     prints = staged(fingerprints(docs, shingle, count, id_col, text_col), "prints")
     nodes = staged(prints.groupBy(*names).agg(F.min(id_col).alias("node")).where("node is not null"), "nodes")
     parents = connected_components(linked_fingerprints(nodes, tau, count, most, probed))
-    known = nodes.join(parents, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(known, names, "left").select(id_col, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    known = staged(nodes.join(parents, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")), "known")
+    return looked_up(prints, known, names, [id_col]).select(id_col, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # ---------------------------------------------------------------- exact similarity of candidates
@@ -374,8 +414,7 @@ def verified(texts: DataFrame, members: DataFrame, shingle: int, similarity: flo
     large = sizes.where((F.col("rows") > chunk) | (F.col("bytes") > most_bytes)).select("component", F.greatest(F.ceil(F.col("rows") / chunk), F.ceil(F.col("bytes") / most_bytes)).cast("int").alias("chunks"))
     dealt = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node", "same"), F.col("chunks")).cast("int"))
     dealt = staged(dealt.select("node", "same", "component", "chunks", "own"), "members")
-    small = dealt.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    named = texts.join(F.broadcast(dealt) if small else dealt, (F.col("doc_id") == F.col("node")) & (texts["same"] == dealt["same"])).select("node", "component", "chunks", "own", "text")
+    named = texts.join(F.broadcast(dealt) if fits(dealt) else dealt, (F.col("doc_id") == F.col("node")) & (texts["same"] == dealt["same"])).select("node", "component", "chunks", "own", "text")
     named = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = named.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "text")
 
@@ -425,8 +464,8 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float, tau: int, c
     candidates = connected_components(linked_fingerprints(nodes, tau, count, most, probed))
     members = nodes.select("node", "same", "bytes").join(candidates, "node")
     parents = connected_components(verified(rows, members, shingle, similarity))
-    known = nodes.join(parents, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", "same").join(known, "same", "left").select("doc_id", "component_id")
+    known = staged(nodes.join(parents, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")), "known")
+    return looked_up(prints.select("doc_id", "same"), known, ["same"], ["doc_id"]).select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 14, count: int = 3, probed: int = 3) -> DataFrame:
@@ -436,8 +475,9 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     looked at over all bits: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of
     differing bits estimates j. A candidate may look less similar than ``similarity`` by three and a half standard
     deviations, so that hardly any pair is lost here; it is a duplicate only if the whole shingle sets have ``similarity`` or more, exactly.
-    Groups are closed transitively. Texts without words are equal. Of rows that repeat a doc_id one stays; rows with a
-    null doc_id all stay.
+    Groups are closed transitively. Null texts and texts without words are equal. Of rows that repeat a doc_id one
+    stays; rows with a null doc_id all stay. Very long texts are compared whole; an empty table stays empty; all
+    columns of ``docs`` are kept as they are.
     """
     bits = 64 * count
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -445,7 +485,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     found = staged(similar_groups(docs, shingle, similarity, tau, count, most, probed), "groups")
     gone = staged(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
     twice = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(F.broadcast(gone) if fits(gone) else gone, "doc_id", "left_anti")
     if not twice.isEmpty():
         left = left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return left.select(*docs.columns)

@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
 #: Bytes of a table up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Parts that each key of a table beyond that is dealt in, against keys that very many rows share.
+SALT = 16
 _PLACE = (1 << 33) - 1
 
 
@@ -56,6 +58,18 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` left-joined with a staged ``table`` that has one row for each value of ``keys``.
+
+    Broadcast if it fits; else by shuffle, each key in parts by the hash of columns ``spread`` of ``rows``.
+    """
+    if fits(table):
+        return rows.join(F.broadcast(table), keys, "left")
+    salt = unused([*rows.columns, *table.columns], "salt")
+    dealt = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALT)).cast("int")).join(dealt, [*keys, salt], "left").drop(salt)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``rank``, from 0 without gaps, staged; ``rank`` must be no column of ``df``.
 

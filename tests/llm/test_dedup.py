@@ -40,6 +40,30 @@ def test_simhash_is_exact(docs, texts):
     assert sum(label[i] != i for i in range(len(label))) >= 8
 
 
+def test_simhash_with_buckets_in_chunks(docs, texts, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    monkeypatch.setattr(simhash, "MEASURED", 1)
+    prints = [brute_fingerprint(t) for t in texts]
+    links = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 9]
+    for most in (1 << 24, -1):
+        from terrastack.llm import staging
+
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", most)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, tau=9).collect()}
+        assert got == dict(enumerate(brute_components(len(prints), links)))
+
+
+def test_agreement_counts_correlation():
+    rng = np.random.default_rng(3)
+    bits = rng.random((4000, 64)) < 0.5
+    bits[:, 1:12] = bits[:, :1] ^ (rng.random((4000, 11)) < 0.05)
+    together = bits.T.astype(float) @ bits
+    for part in (list(range(12)), list(range(20, 28))):
+        values = bits[:, part] @ (1 << np.arange(len(part)))
+        true = ((np.unique(values, return_counts=True)[1] / 4000) ** 2).sum()
+        assert 0.5 < simhash.agreement(4000, together, part) / true < 2
+
+
 def test_simhash_edges(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     rows = spark.createDataFrame([(4, "a b c d e"), (4, "a b c d e"), (None, "a b c d e"), (None, "other words stand here now"), (2, None)], "doc_id long, text string")
