@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrastack.llm.staging import staged
+from terrastack.llm.staging import fits, staged
 from terrastack.llm.textkit import buffer, ngrams, runs_of_rows, word_hashes, words
 
 #: Bytes of test items that are broadcast at a time; a larger benchmark is searched in several passes.
@@ -205,4 +205,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
     ``contaminated``; all columns of ``docs`` are kept as they are.
     """
     found = staged(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(found) if fits(found) else found, "doc_id", "left_anti").select(*docs.columns)

@@ -25,14 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrastack.llm.components import connected_components, local_components
-from terrastack.llm.staging import fits, staged
+from terrastack.llm.staging import fits, looked_up, staged
 
 #: Vectors of a bucket to aim at, and the narrowest and widest pieces.
 BUCKET, NARROWEST, WIDEST = 64, 6, 30
 #: Share of the pairs at the threshold that must meet, and the tables at which no more are added.
 RECALL, MOST_TABLES = 0.96, 512
-#: Parts that a vector repeated very often is dealt in.
-SALT = 16
 
 
 def fit_rotation(sample: np.ndarray, rounds: int = 40, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -134,12 +132,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 8192, ch
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     parents = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("h1", "h2", "node", "copies").join(counts, "node", "left").join(parents, "node", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
-    known, linking = staged(known, "known"), rows.where("sound").drop("embedding", "label")
-    if fits(known):
-        joined = linking.join(F.broadcast(known), ["h1", "h2"], "left")
-    else:  # one vector may be a third of all rows
-        dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = linking.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALT)).cast("int")).join(dealt, ["h1", "h2", "salt"], "left")
+    joined = looked_up(rows.where("sound").drop("embedding", "label"), staged(known, "known"), ["h1", "h2"], ["vec_id"])
     out = joined.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     out = out.unionByName(rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
