@@ -49,38 +49,37 @@ def plans(sized: DataFrame) -> DataFrame:
 
     A source's rate is target / size: each of its documents is taken ``times`` = floor(rate) times, and once more if its
     number ``u`` is ``cut`` or less. The cut is at the fraction of the rate, but carried on to where the words taken
-    along the order of ``u`` come nearest to the target. It is found in two steps of 16 bits: the words of each of the
-    65,536 ranges of a source, then of the numbers in the one range that holds the cut.
+    along the order of ``u`` come nearest to the target. It is found in four steps of 8 bits: the words of each of the
+    256 ranges of a source, then of the ranges within the one that holds the cut. So a source never has more than 256
+    rows in a window, however many documents it has.
     """
     sums = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     times = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     wanted = sums.withColumn("times", times).withColumn("need", F.when(F.col("times") < MOST, F.col("target") - F.col("times") * F.col("source_size")).otherwise(0.0))
-    own = wanted.select(F.col("source").alias("_source"), "need").where("need > 0")
-    few = fits(own)
-
-    def with_need(df: DataFrame) -> DataFrame:  # a row for each source and range at most: no source is hot here
-        return df.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-
-    order = Window.partitionBy("source").orderBy("range")
-    ranges = sized.groupBy("source", F.shiftright("u", 16).alias("range")).agg(F.sum("size").alias("words"))
-    ranges = with_need(ranges.withColumn("upto", F.sum("words").over(order)))
-    crossed = ranges.where("upto > need and upto - words <= need").groupBy("source").agg(F.min(F.struct("range", (F.col("upto") - F.col("words")).alias("start"), "need")).alias("x"))
-    crossed = staged(crossed.select(F.col("source").alias("_source"), "x.range", "x.start", "x.need"), "cuts")
-    met = sized.withColumn("range", F.shiftright("u", 16)).join(F.broadcast(crossed) if fits(crossed) else crossed.hint("shuffle_hash"), F.col("source").eqNullSafe(F.col("_source")) & (F.shiftright("u", 16) == crossed["range"]))
-    numbers = met.groupBy("_source", "u", "start", "need").agg(F.sum("size").alias("words"))
-    upto = F.col("start") + F.sum("words").over(Window.partitionBy("_source").orderBy("u"))
-    taken = numbers.withColumn("upto", upto).where(2 * F.col("upto") - F.col("words") <= 2 * F.col("need"))
-    cuts = taken.groupBy("_source").agg(F.max("u").alias("u"))
-    # without a number that fits, all of the ranges before; without a crossing, all
-    cuts = crossed.join(cuts.withColumnRenamed("_source", "_own"), F.col("_source").eqNullSafe(F.col("_own")), "left").select(F.col("_source"), F.coalesce("u", F.shiftleft(F.col("range"), 16) - 1).alias("u"))
+    at = wanted.where("need > 0").select(F.col("source").alias("of"), F.lit(0).cast("long").alias("within"), F.lit(0).cast("long").alias("start"), "need")
+    for shift in (24, 16, 8, 0):
+        rows = sized.select("source", F.shiftright("u", shift).alias("range"), "size")
+        same = F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("range", 8) == F.col("within"))
+        if fits(at):
+            met = rows.join(F.broadcast(at), same)
+        else:
+            dealt = at.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+            met = rows.join(dealt, same & (F.pmod("range", F.lit(SALT)) == F.col("salt")))
+        words = met.groupBy("of", "range", "start", "need").agg(F.sum("size").alias("words"))
+        upto = F.col("start") + F.sum("words").over(Window.partitionBy("of").orderBy("range"))
+        crossed = words.withColumn("upto", upto).where("upto > need and upto - words <= need")
+        first = crossed.groupBy("of").agg(F.min(F.struct("range", "words", "upto", "need")).alias("x")).select("of", "x.*")
+        at = staged(first.select("of", F.col("range").alias("within"), (F.col("upto") - F.col("words")).alias("start"), "need", "words"), "cuts")
+    # the number at which the target is passed is taken if that is nearer; where none passes it, all are
+    cuts = at.select("of", F.when(2 * F.col("start") + F.col("words") <= 2 * F.col("need"), F.col("within")).otherwise(F.col("within") - 1).alias("u"))
     cut = F.when(F.col("need") > 0, F.coalesce("u", F.lit((1 << 32) - 1))).otherwise(-1)
-    return staged(wanted.join(F.broadcast(cuts) if fits(crossed) else cuts, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "source_size", "target", "times", cut.alias("cut")), "plans")
+    met = wanted.join(F.broadcast(cuts) if fits(at) else cuts, F.col("source").eqNullSafe(F.col("of")), "left")
+    return staged(met.select("source", "source_size", "target", "times", cut.alias("cut")), "plans")
 
 
 def _planned(rows: DataFrame, plan: DataFrame, number: Column, name: str) -> DataFrame:
     """``rows`` with the struct ``name``: source_size, target and copies of the row's source and ``number``."""
     own, salt = unused(rows.columns, "own"), unused(rows.columns, "salt")
-    copies = (F.col("times") + F.when(number <= F.col("cut"), 1).otherwise(0)).alias("copies")
     kept = F.struct("source", "source_size", "target", "times", "cut").alias(own)
     if fits(plan):
         joined = rows.join(F.broadcast(plan.select(kept)), F.col("source").eqNullSafe(F.col(f"{own}.source")), "left")
