@@ -210,10 +210,10 @@ def apart(f: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f ^ x)
 
 
-def forest(f: np.ndarray, tau: int, most: int | None = None, probed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(f: np.ndarray, tau: int, most: int | None = None, word: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (from, to as indices) of the links among the fingerprints (rows x words) of one bucket.
 
-    A link is within ``tau`` in one of the first ``probed`` words and within ``most`` over all words. Breadth first; what has been reached is
+    A link is within ``tau`` in ``word`` and within ``most`` over all words. Breadth first; what has been reached is
     compared no more, so a tight group of g costs about g comparisons.
     """
     todo = np.arange(len(f))
@@ -225,12 +225,9 @@ def forest(f: np.ndarray, tau: int, most: int | None = None, probed: int | None
             for x in frontier:
                 if not len(todo):
                     break
-                bits = apart(f[todo], f[x])
-                near = bits[:, 0] <= tau
-                for w in range(1, probed or f.shape[1]):
-                    near |= bits[:, w] <= tau
+                near = np.bitwise_count(f[todo, word] ^ f[x, word]) <= tau
                 if most is not None and near.any():
-                    near &= bits.sum(axis=1, dtype=np.int64) <= most
+                    near &= apart(f[todo], f[x]).sum(axis=1, dtype=np.int64) <= most
                 if near.any():
                     hit = todo[near]
                     a.append(np.full(len(hit), x))
@@ -243,15 +240,12 @@ def forest(f: np.ndarray, tau: int, most: int | None = None, probed: int | None
     return np.concatenate(a), np.concatenate(b)
 
 
-def dense(f: np.ndarray, tau: int, most: int | None = None, probed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def dense(f: np.ndarray, tau: int, most: int | None = None, word: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The links of a bucket as stars of its components: all pairs as matrices, some rows at a time."""
     us, vs = [], []
     for at in range(0, len(f), 256):
         x, y = f[at : at + 256], f[at:]
-        near = np.bitwise_count(x[:, 0][:, None] ^ y[:, 0]) <= tau
-        for w in range(1, probed or f.shape[1]):
-            near |= np.bitwise_count(x[:, w][:, None] ^ y[:, w]) <= tau
-        u, v = np.nonzero(np.triu(near, 1))
+        u, v = np.nonzero(np.triu(np.bitwise_count(x[:, word][:, None] ^ y[:, word]) <= tau, 1))
         if most is not None and len(u):
             ok = apart(x[u], y[v]).sum(axis=1, dtype=np.int64) <= most
             u, v = u[ok], v[ok]
@@ -269,23 +263,35 @@ def dense(f: np.ndarray, tau: int, most: int | None = None, probed: int | None =
     return root[member], member
 
 
-def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int | None = None, probed: int | None = None) -> DataFrame:
-    """Edges ``(a, b)`` between node ids that connect all links of ``nodes(node, f0, ..)``, fingerprints distinct.
+def fingerprint_groups(nodes: DataFrame, tau: int, count: int = 1, most: int | None = None, probed: int | None = None) -> DataFrame:
+    """``(node, component)`` for every row of ``nodes(node, f0, ..)``, fingerprints distinct.
 
-    The first ``probed`` of ``count`` fingerprints (all by default) are probed within ``tau`` bits; a candidate is a
-    link if all its bits together differ in ``most`` at most.
+    A link is within ``tau`` bits in one of the first ``probed`` of ``count`` fingerprints (all by default) and, with
+    ``most``, within so many bits of all together. One fingerprint is probed after the other, between the groups that
+    the ones before have found: a tight group is joined once, not by the buckets of each.
     """
-    names, probed = [f"f{i}" for i in range(count)], probed or count
-    plans = [plan(tau, *co_occurrence(nodes, name)) for name in names[:probed]]
+    names = [f"f{i}" for i in range(count)]
+    known = nodes.select("node", F.col("node").alias("component"), *names)
+    for word in range(probed or count):
+        parents = connected_components(linked_by(known, word, tau, count, most))
+        moves = staged(parents.select(F.col("node").alias("component"), F.col("component").alias("root")), "moves")
+        known = staged(looked_up(known, moves, ["component"], names).select("node", F.coalesce("root", "component").alias("component"), *names), "groups")
+    return known.select("node", "component")
+
+
+def linked_by(nodes: DataFrame, word: int, tau: int, count: int, most: int | None) -> DataFrame:
+    """Edges ``(a, b)`` that connect all components of ``nodes(node, component, f0, ..)`` with a link in one fingerprint."""
+    names = [f"f{i}" for i in range(count)]
+    parts = plan(tau, *co_occurrence(nodes, names[word]))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 cols = [part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(part.num_columns)]
-                for word, parts in enumerate(plans):
-                    keys, index = keys_of(cols[1 + word].view(np.uint64), parts, 12 * word)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[index]) for c in cols)], names=["key", "node", *names])
+                keys, index = keys_of(cols[1 + word].view(np.uint64), parts)
+                none = np.full(len(keys), -1, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cols[0][index]), pa.array(none), *(pa.array(c[index]) for c in cols[1:])], names=["key", "component", "side", *names])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in probe(batches):
@@ -311,7 +317,7 @@ def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int |
     def buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(rows)]))
-        f = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        side, f = rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
         a, b = [], []
         # small buckets together, all their pairs: rows d apart
         size = ends - starts
@@ -320,35 +326,47 @@ def linked_fingerprints(nodes: DataFrame, tau: int, count: int = 1, most: int |
             at = at[at + d < end_of[at]]
             if not len(at):
                 break
-            bits = apart(f[at], f[at + d])
-            near = (bits[:, :probed] <= tau).any(axis=1)
-            if most is not None:
-                near &= bits.sum(axis=1, dtype=np.int64) <= most
-            a.append(rows[at[near], 1])
-            b.append(rows[at[near] + d, 1])
+            near = np.bitwise_count(f[at, word] ^ f[at + d, word]) <= tau
+            u = at[near]
+            if most is not None and len(u):
+                u = u[apart(f[u], f[u + d]).sum(axis=1, dtype=np.int64) <= most]
+            a.append(u)
+            b.append(u + d)
+
+        def linked(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            u, v = (dense if len(index) <= 4 * CHUNK else forest)(f[index], tau, most, word)
+            return index[u], index[v]
+
+        known = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for i in np.flatnonzero(size > 16):
-            u, v = (dense if size[i] <= 4 * CHUNK else forest)(f[starts[i] : ends[i]], tau, most, probed)
-            if len(u):
-                own = rows[starts[i] : ends[i], 1]
-                a.append(own[u])
-                b.append(own[v])
+            index = np.arange(starts[i], ends[i])
+            u, v = linked(index)
+            a.append(u)
+            b.append(v)
+            if len(u) and side[starts[i]] >= 0:  # of two chunks: each has told what it holds itself in a task of its own
+                known += [linked(index[side[index] == x]) for x in np.unique(side[index])]
         if sum(map(len, a)):
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    schema = "key long, node long, " + ", ".join(f"{x} long" for x in names)
-    measured = nodes.where(F.pmod(F.xxhash64("node", *names), F.lit(MEASURED)) == 0).select("node", *names).mapInArrow(measure, "key long")
+            same = np.flatnonzero((rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1]))
+            # rows of a bucket are in order of components: the buckets of a group mostly name the same smallest one
+            root = local_components(len(rows), np.concatenate([*a, same]), np.concatenate([*b, same + 1]))
+            told = local_components(len(rows), *(np.concatenate([*x, y]) for x, y in zip(zip(*known), (same, same + 1))))
+            member = np.flatnonzero((rows[root, 1] != rows[:, 1]) & (told == np.arange(len(rows))))
+            edges = np.unique(rows[:, 1][np.stack((root[member], member), axis=1)], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    schema = "key long, component long, side int, " + ", ".join(f"{x} long" for x in names)
+    measured = nodes.where(F.pmod(F.xxhash64("node", *names), F.lit(MEASURED)) == 0).select("component", *names).mapInArrow(measure, "key long")
     large = measured.groupBy("key").agg((F.count(F.lit(1)) * MEASURED).alias("rows")).where(F.col("rows") > CHUNK)
     large = staged(large.select("key", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "large")
-    rows = nodes.select("node", *names).mapInArrow(probe, schema)
+    rows = nodes.select("component", *names).mapInArrow(probe, schema)
     if large.isEmpty():
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+        return rows.repartition("key").sortWithinPartitions("key", "component").mapInArrow(link, "a long, b long")
     # by the key a bucket would be hot itself: what isn't broadcast is joined in parts
-    dealt = looked_up(rows, large, ["key"], ["node"]).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = looked_up(rows, large, ["key"], names).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.select(pair.alias("key"), "node", *names)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+    dealt = dealt.select(pair.alias("key"), "component", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), *names)
+    return dealt.repartition("key").sortWithinPartitions("key", "component").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int = 1, most: int | None = None, probed: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,8 +383,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int
     names = [f"f{i}" for i in range(count)]
     prints = staged(fingerprints(docs, shingle, count, id_col, text_col), "prints")
     nodes = staged(prints.groupBy(*names).agg(F.min(id_col).alias("node")).where("node is not null"), "nodes")
-    parents = connected_components(linked_fingerprints(nodes, tau, count, most, probed))
-    known = staged(nodes.join(parents, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")), "known")
+    groups = fingerprint_groups(nodes, tau, count, most, probed)
+    known = staged(nodes.join(groups, "node").select(*names, F.col("component").alias("component_id")), "known")
     return looked_up(prints, known, names, [id_col]).select(id_col, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -461,8 +479,9 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float, tau: int, c
     prints = staged(rows.mapInArrow(of, "doc_id long, same string, bytes long, " + ", ".join(f"{x} long" for x in names)), "prints")
     nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"), *(F.max(x).alias(x) for x in names))
     nodes = staged(nodes.where("node is not null"), "nodes")
-    candidates = connected_components(linked_fingerprints(nodes, tau, count, most, probed))
-    members = nodes.select("node", "same", "bytes").join(candidates, "node")
+    groups = fingerprint_groups(nodes, tau, count, most, probed)
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("component")
+    members = nodes.select("node", "same", "bytes").join(groups, "node").join(several, "component")
     parents = connected_components(verified(rows, members, shingle, similarity))
     known = staged(nodes.join(parents, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")), "known")
     return looked_up(prints.select("doc_id", "same"), known, ["same"], ["doc_id"]).select("doc_id", "component_id")
