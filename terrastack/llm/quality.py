@@ -78,7 +78,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
-    """Fit on about ``most`` labelled rows that aren't held out, those with the smallest hashes of their ids.
+    """Fit on about ``most`` labelled rows that aren't held out, those with the smallest hashes of their ids; at most twice as many.
 
     Only statistics of the texts are inputs. Of several labels of a document the mean decides (0.5 counts as 1); null
     labels are left out. The sampled labels are the only table that is broadcast: ``most`` bounds it (16 bytes a row).
@@ -93,7 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
             x = _over_texts(batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
-    got = rows.mapInArrow(of, "label double, x array<double>").toArrow()
+    # ids that repeat in docs would multiply the rows of a label: the bound holds whatever they do
+    got = rows.mapInArrow(of, "label double, x array<double>").orderBy(F.xxhash64("x", "label"), "label").limit(2 * most).toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     x = np.stack(got.column("x").to_pylist())
@@ -116,15 +117,18 @@ def quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int =
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text)``; score 0 to 1, higher is better.
 
     Whole texts are scored, null as empty. Without usable labels every score is 0.5. Rows with a null doc_id are
-    scored and not held out; repeated rows are scored alike; an empty table gives an empty result. Other columns,
-    language and source are ignored.
+    scored and not held out; repeated rows are scored alike; a score of exactly ``least`` is predicted 1; very long texts
+    are counted whole; an empty table gives an empty result. Other columns, language and source are ignored.
     """
     out = scored(docs, train(docs, labels, most))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 20_000) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that score ``least`` or more: one pass, no join back."""
+    """Rows of ``docs``, with all their columns, that score ``least`` or more: one pass, no join back.
+
+    Nulls, repeated rows, very long texts, ties and empty tables are as in ``quality``.
+    """
     trees = train(docs, labels, most)
     at = docs.columns.index("text")
 
