@@ -30,6 +30,8 @@ from terrastack.llm.textkit import buffer
 SEED = 42
 #: Rows of a bucket beyond which it is dealt, and the share of nodes (one in so many) by which buckets are measured.
 CHUNK, MEASURED = 1024, 8
+#: Rows of a task that links buckets.
+TASK_ROWS = 1_000_000
 
 
 def shingles_of(text: bytes, shingle: int) -> list[bytes]:
@@ -282,7 +284,10 @@ def fingerprint_groups(nodes: DataFrame, tau: int, count: int = 1, most: int | N
 def linked_by(nodes: DataFrame, word: int, tau: int, count: int, most: int | None) -> DataFrame:
     """Edges ``(a, b)`` that connect all components of ``nodes(node, component, f0, ..)`` with a link in one fingerprint."""
     names = [f"f{i}" for i in range(count)]
-    parts = plan(tau, *co_occurrence(nodes, names[word]))
+    n, together = co_occurrence(nodes, names[word])
+    parts = plan(tau, n, together)
+    probes = n * sum(1 if t == 0 else 1 + len(bits) for bits, t in parts)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-probes // TASK_ROWS))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,13 +365,13 @@ def linked_by(nodes: DataFrame, word: int, tau: int, count: int, most: int | Non
     large = staged(large.select("key", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "large")
     rows = nodes.select("component", *names).mapInArrow(probe, schema)
     if large.isEmpty():
-        return rows.repartition("key").sortWithinPartitions("key", "component").mapInArrow(link, "a long, b long")
+        return rows.repartition(tasks, "key").sortWithinPartitions("key", "component").mapInArrow(link, "a long, b long")
     # by the key a bucket would be hot itself: what isn't broadcast is joined in parts
     dealt = looked_up(rows, large, ["key"], names).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     dealt = dealt.select(pair.alias("key"), "component", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), *names)
-    return dealt.repartition("key").sortWithinPartitions("key", "component").mapInArrow(link, "a long, b long")
+    return dealt.repartition(tasks, "key").sortWithinPartitions("key", "component").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, tau: int = 4, count: int = 1, most: int | None = None, probed: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,7 +435,7 @@ def verified(texts: DataFrame, members: DataFrame, shingle: int, similarity: flo
     """
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
     large = sizes.where((F.col("rows") > chunk) | (F.col("bytes") > most_bytes)).select("component", F.greatest(F.ceil(F.col("rows") / chunk), F.ceil(F.col("bytes") / most_bytes)).cast("int").alias("chunks"))
-    dealt = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node", "same"), F.col("chunks")).cast("int"))
+    dealt = looked_up(members, staged(large, "large"), ["component"], ["node"]).withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node", "same"), F.col("chunks")).cast("int"))
     dealt = staged(dealt.select("node", "same", "component", "chunks", "own"), "members")
     named = texts.join(F.broadcast(dealt) if fits(dealt) else dealt, (F.col("doc_id") == F.col("node")) & (texts["same"] == dealt["same"])).select("node", "component", "chunks", "own", "text")
     named = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -480,8 +485,9 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float, tau: int, c
     nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"), *(F.max(x).alias(x) for x in names))
     nodes = staged(nodes.where("node is not null"), "nodes")
     groups = fingerprint_groups(nodes, tau, count, most, probed)
-    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("component")
-    members = nodes.select("node", "same", "bytes").join(groups, "node").join(several, "component")
+    several = staged(groups.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "several")
+    shared = looked_up(groups, several, ["component"], ["node"]).where("nodes is not null").select("node", "component")
+    members = staged(nodes.select("node", "same", "bytes").join(shared, "node"), "shared")
     parents = connected_components(verified(rows, members, shingle, similarity))
     known = staged(nodes.join(parents, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")), "known")
     return looked_up(prints.select("doc_id", "same"), known, ["same"], ["doc_id"]).select("doc_id", "component_id")
