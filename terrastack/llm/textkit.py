@@ -28,13 +28,14 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below n, or those of the second base."""
-    if not _powers or len(_powers["up"]) < n:
+    names, bases = (("other up", "other down"), (OTHER, OTHER_INVERSE)) if other else (("up", "down"), (BASE, INVERSE))
+    if len(_powers.get(names[0], ())) < n:
         size = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("up", BASE), ("down", INVERSE), ("other up", OTHER), ("other down", OTHER_INVERSE)):
+        for name, base in zip(names, bases):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return (_powers["other up"][:n], _powers["other down"][:n]) if other else (_powers["up"][:n], _powers["down"][:n])
+            _powers[name] = np.multiply.accumulate(steps)
+    return _powers[names[0]][:n], _powers[names[1]][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -92,11 +93,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of ``data``."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of each word of ``data``, about 1 MB of text at a time (a longer word as a whole)."""
+    out = np.zeros(len(starts), np.uint64)
+    for a, b in runs_of_rows(np.append(starts, ends[-1:]), 1 << 20):
+        low, high = int(starts[a]), int(ends[b - 1])
+        up, down = powers(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
+        out[a:b] = mixed((total[ends[a:b] - low] - total[starts[a:b] - low]) * down[starts[a:b] - low])
+    return out
 
 
 def ngrams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
