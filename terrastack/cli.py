@@ -15,6 +15,9 @@ from terrastack.functions.strings import store_name, tile_key
 from terrastack.operators import catalog, composite, coverage, footprints, spatial
 from terrastack.sources import files, items, registry, store
 
+#: Footprint tiles of one job: what a lost driver has to do again at most.
+TILES = 256
+
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("terrastack").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
@@ -142,7 +145,10 @@ def gedi(spark: SparkSession, job: registry.FootprintJob, product: str, shots: D
     else:
         kept = footprints.good_biomass(owned) if job.quality_filter else owned
         made = footprints.selected(kept, [*footprints.fields(job.fields or footprints.BIOMASS_FIELDS, job.anc_fields), "tile"])
-    store.write_tiles(made, folder)
+    left = sorted(r["tile"] for r in todo.select("tile").collect())  # tiles of an area, named by their corners
+    for at in range(0, len(left), TILES):
+        batch = left[at : at + TILES]
+        store.write_tiles(made.where(F.col("tile").isin(batch)), folder, batch)
     spark.read.schema(made.schema).parquet(folder).drop("tile").orderBy("time").write.parquet(job.output)
     files.delete(spark, folder)
     return True

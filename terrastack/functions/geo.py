@@ -198,67 +198,93 @@ def tiles(spark: SparkSession, box: Box, most: float = 50_000.0) -> DataFrame:
     return grid.select("j", "i", at(i, nx, west, east).alias("min_lon"), at(j, ny, south, north).alias("min_lat"), at(i + 1, nx, west, east).alias("max_lon"), at(j + 1, ny, south, north).alias("max_lat"))
 
 
-def box_ring(box: Box) -> list[tuple[float, float]]:
-    """Closed counter-clockwise ring of a box."""
-    w, s, e, n = box
-    return [(w, s), (e, s), (e, n), (w, n), (w, s)]
+# ---------------------------------------------------------------- polygons
 
+#: A ring of points, or an outer ring with its holes.
+Polygon = Sequence
 
-# ---------------------------------------------------------------- polygons
+
+def rings_of(polygon: Polygon) -> list[np.ndarray]:
+    """The rings of a polygon, of which the first is the outer one."""
+    single = len(polygon) > 0 and np.ndim(polygon[0]) == 1
+    return [np.asarray(r, float) for r in ([polygon] if single else polygon)]
 
 
-def bounds(polygons: Sequence[Sequence[tuple[float, float]]]) -> Box:
-    points = np.array([p for ring in polygons for p in ring], float)
+def bounds(polygons: Sequence[Polygon]) -> Box:
+    points = np.concatenate([rings_of(p)[0] for p in polygons])
     return (*points.min(axis=0).tolist(), *points.max(axis=0).tolist())  # type: ignore[return-value]
 
 
-def intersects(polygons: Sequence[Sequence[tuple[float, float]]], boxes: np.ndarray) -> np.ndarray:
-    """Whether each box (rows of west, south, east, north) meets any polygon (outer rings); touching counts."""
+def intersects(polygons: Sequence[Polygon], boxes: np.ndarray) -> np.ndarray:
+    """Whether each box (rows of west, south, east, north) meets any polygon; touching counts, lying in a hole doesn't."""
     out = np.zeros(len(boxes), bool)
     w, s, e, n = boxes.T
-    for ring in polygons:
-        pts = np.asarray(ring, float)
-        a, b = pts, np.roll(pts, -1, axis=0)
-        # an edge meets the box: clipped by Liang and Barsky's four half-planes
-        d = b - a
-        t0, t1 = np.zeros((len(boxes), len(a))), np.ones((len(boxes), len(a)))
-        ok = np.ones_like(t0, bool)
-        for p, q in ((-d[:, 0], a[:, 0] - w[:, None]), (d[:, 0], e[:, None] - a[:, 0]), (-d[:, 1], a[:, 1] - s[:, None]), (d[:, 1], n[:, None] - a[:, 1])):
-            p = np.broadcast_to(p, q.shape)
+    for polygon in polygons:
+        inside = np.zeros(len(boxes), int)
+        for pts in rings_of(polygon):
+            a, b = pts, np.roll(pts, -1, axis=0)
+            # an edge meets the box: clipped by Liang and Barsky's four half-planes
+            d = b - a
+            t0, t1 = np.zeros((len(boxes), len(a))), np.ones((len(boxes), len(a)))
+            ok = np.ones_like(t0, bool)
+            for p, q in ((-d[:, 0], a[:, 0] - w[:, None]), (d[:, 0], e[:, None] - a[:, 0]), (-d[:, 1], a[:, 1] - s[:, None]), (d[:, 1], n[:, None] - a[:, 1])):
+                p = np.broadcast_to(p, q.shape)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r = q / p
+                t0 = np.where(p < 0, np.maximum(t0, r), t0)
+                t1 = np.where(p > 0, np.minimum(t1, r), t1)
+                ok &= (p != 0) | (q >= 0)
+            out |= (ok & (t0 <= t1)).any(axis=1)
+            # or the box lies within the polygon: its corner does, counted over all rings
+            crossing = (a[:, 1] > s[:, None]) != (b[:, 1] > s[:, None])
             with np.errstate(divide="ignore", invalid="ignore"):
-                r = q / p
-            t0 = np.where(p < 0, np.maximum(t0, r), t0)
-            t1 = np.where(p > 0, np.minimum(t1, r), t1)
-            ok &= (p != 0) | (q >= 0)
-        out |= (ok & (t0 <= t1)).any(axis=1)
-        # or the box lies within the polygon: its corner does
-        crossing = (a[:, 1] > s[:, None]) != (b[:, 1] > s[:, None])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x = a[:, 0] + (s[:, None] - a[:, 1]) * d[:, 0] / d[:, 1]
-        out |= (crossing & (w[:, None] < x)).sum(axis=1) % 2 == 1
+                x = a[:, 0] + (s[:, None] - a[:, 1]) * d[:, 0] / d[:, 1]
+            inside += (crossing & (w[:, None] < x)).sum(axis=1)
+        out |= inside % 2 == 1
     return out
 
 
-def near(polygons: Sequence[Sequence[tuple[float, float]]], west: Column, south: Column, east: Column, north: Column) -> Column:
+def near(polygons: Sequence[Polygon], west: Column, south: Column, east: Column, north: Column) -> Column:
     """Whether boxes meet the polygons' bounds: comparisons only, so a scan can skip files and row groups by it."""
     w, s, e, n = bounds(polygons)
     return (west <= e) & (east >= w) & (south <= n) & (north >= s)
 
 
-def meets(polygons: Sequence[Sequence[tuple[float, float]]], west: Column, south: Column, east: Column, north: Column) -> Column:
+def meets(polygons: Sequence[Polygon], west: Column, south: Column, east: Column, north: Column) -> Column:
     """``intersects`` as a Column, an Arrow function; filters put ``near`` before it, so it sees what is left."""
-    rings = [list(map(tuple, r)) for r in polygons]
+    kept = [rings_of(p) for p in polygons]
 
     @F.pandas_udf("boolean")
     def exact(a, b, c, d):
         import pandas as pd
 
-        return pd.Series(intersects(rings, np.column_stack((a, b, c, d))))
+        return pd.Series(intersects(kept, np.column_stack((a, b, c, d))))
 
     return exact(west, south, east, north)
 
 
-def meeting(df: DataFrame, polygons: Sequence[Sequence[tuple[float, float]]], west: str, south: str, east: str, north: str) -> DataFrame:
+def meeting(df: DataFrame, polygons: Sequence[Polygon], west: str, south: str, east: str, north: str) -> DataFrame:
     """Rows whose boxes meet the polygons: by bounds first, then exactly."""
     box = [F.col(c) for c in (west, south, east, north)]
     return df.where(near(polygons, *box)).where(meets(polygons, *box))
+
+
+def geometry_meets(geometry: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether each row's own GeoJSON geometry meets its box; a null geometry does (its bounds decide alone)."""
+
+    @F.pandas_udf("boolean")
+    def exact(g, a, b, c, d):
+        import json
+
+        import pandas as pd
+
+        boxes, out = np.column_stack((a, b, c, d)), np.ones(len(g), bool)
+        for text, at in g.dropna().groupby(g.dropna()).groups.items():  # a footprint is read once for all its boxes
+            shape = json.loads(text)
+            parts = [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"] if shape["type"] == "MultiPolygon" else None
+            if parts is not None:
+                rows = g.index.get_indexer(at)
+                out[rows] = intersects([[[p[:2] for p in ring] for ring in polygon] for polygon in parts], boxes[rows])
+        return pd.Series(out)
+
+    return exact(geometry, west, south, east, north)

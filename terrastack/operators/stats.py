@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,37 +51,3 @@ def metadata_diff(want: DataFrame, have: DataFrame, key: str = "key", value: str
     a, b = want.select(key, F.col(value).alias("_want"), F.lit(True).alias("_in_want")), have.select(key, F.col(value).alias("_have"), F.lit(True).alias("_in_have"))
     state = F.when(F.col("_in_have").isNull(), "missing").when(F.col("_in_want").isNull(), "unexpected").when(~F.col("_want").eqNullSafe(F.col("_have")), "differs")
     return a.join(b, key, "full_outer").select(key, state.alias("state")).where("state is not null")
-
-
-class WorkerTuner:
-    """Picks a number of workers from costs seen so far: cost = a + b / w + c * w, fitted by least squares."""
-
-    def __init__(self, least: int, most: int, seed: int = 0, noise: float = 0.1) -> None:
-        if not 1 <= least <= most:
-            raise ValueError(f"{least} to {most} workers")
-        self.least, self.most, self.noise = least, most, noise
-        self.seen: list[tuple[int, float]] = []
-        self.random = np.random.default_rng(seed)
-
-    def observe(self, workers: int, seconds: float, n_bytes: float) -> None:
-        if n_bytes > 0:
-            self.seen.append((workers, seconds / n_bytes))
-
-    def best(self) -> int:
-        """Without noise: of the fit, or of the means while fewer than three numbers were tried."""
-        tried = sorted({w for w, _ in self.seen})
-        if len(tried) < 3:
-            mean = {w: float(np.mean([c for v, c in self.seen if v == w])) for w in tried}
-            return min(mean, key=mean.get) if mean else self.least  # type: ignore[arg-type]
-        w = np.array([x for x, _ in self.seen], float)
-        design = np.column_stack((np.ones_like(w), 1 / w, w))
-        fit, *_ = np.linalg.lstsq(design, np.array([c for _, c in self.seen]), rcond=None)
-        every = np.arange(self.least, self.most + 1)
-        return int(every[np.argmin(fit[0] + fit[1] / every + fit[2] * every)])
-
-    def pick(self) -> int:
-        start = list(dict.fromkeys([self.least, self.most, (self.least + self.most) // 2]))
-        if len(self.seen) < len(start):
-            return start[len(self.seen)]
-        near = self.best() + self.random.normal(0, self.noise * (self.most - self.least))
-        return int(np.clip(round(near), self.least, self.most))

@@ -263,9 +263,9 @@ def utm_zone_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.by_zone(boxes(spark, sf_dir), geo.zones(spark, AOI)).select("item_id", "epsg")
 
 
-@query("SELECT * FROM (VALUES (CAST(32736 AS INTEGER), CAST(36 AS INTEGER), 29.34::DOUBLE, 36.0::DOUBLE), (32737, 37, 36.0, 40.85)) t(epsg, zone, west, east)")
+@query("SELECT * FROM (VALUES (CAST(32633 AS INTEGER), CAST(33 AS INTEGER), 11.4::DOUBLE, 18.0::DOUBLE), (32634, 34, 18.0, 22.5)) t(epsg, zone, west, east)")
 def zone_extent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.zones(spark, (29.34, -9.0, 40.85, -1.0)).select("epsg", "zone", "west", "east")
+    return geo.zones(spark, (11.4, 41.0, 22.5, 49.0)).select("epsg", "zone", "west", "east")
 
 
 @query(
@@ -517,22 +517,48 @@ def mask_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.mask_input(gridded(spark, sf_dir), 2, 20, ("red",)).withColumn("red", F.round("red", 6))
 
 
-@query(f"WITH {BOXES}, {SHARDS}, picked AS (SELECT * FROM boxes WHERE c_custkey % 50 = 0) SELECT CAST(c_custkey AS VARCHAR) AS item_id, shard_y FROM picked, shards")
+@query(f"WITH {BOXES}, {SHARDS} SELECT CAST(c_custkey AS VARCHAR) AS item_id, shard_y FROM boxes, shards")
 def unlocated_items_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nowhere = boxes(spark, sf_dir).where("pos % 50 = 0").withColumns({c: F.lit(None).cast("double") for c in ("minx", "miny", "maxx", "maxy")})
+    nowhere = boxes(spark, sf_dir).withColumns({c: F.lit(None).cast("double") for c in ("minx", "miny", "maxx", "maxy")})
     return spatial.item_shards(nowhere, shards(spark, sf_dir), 3.0).select("item_id", "shard_y")
 
 
-@query(f"WITH {BOXES}, {SHARDS}, few AS (SELECT * FROM boxes WHERE c_custkey % 7 = 0) SELECT shard_y, CAST(c_custkey AS VARCHAR) AS item_id FROM shards LEFT JOIN few ON {MEET}")
+#: Shards of which every other lies beyond all items.
+FAR = "SELECT shard_y, sminx + far AS sminx, smaxx + far AS smaxx, sminy, smaxy FROM (SELECT *, CASE WHEN shard_y % 2 = 0 THEN 1000 ELSE 0 END AS far FROM shards)"
+
+
+@query(f"WITH {BOXES}, {SHARDS}, spread AS ({FAR}) SELECT shard_y, CAST(c_custkey AS VARCHAR) AS item_id FROM spread LEFT JOIN boxes ON {MEET}")
 def empty_shards_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = boxes(spark, sf_dir).where("pos % 7 = 0")
-    return spatial.item_shards(few, shards(spark, sf_dir), 3.0, keep_empty=True).select("shard_y", "item_id")
+    far = F.when(F.col("shard_y") % 2 == 0, 1000).otherwise(0)
+    spread = shards(spark, sf_dir).withColumns({"sminx": F.col("sminx") + far, "smaxx": F.col("smaxx") + far})
+    return spatial.item_shards(boxes(spark, sf_dir), spread, 3.0, keep_empty=True).select("shard_y", "item_id")
+
+
+#: A box meets the triangle at a box's lower left if its own lower left corner, moved into the box, does.
+IN_TRIANGLE = "(greatest(minx, sminx) - minx) / 2 + (greatest(miny, sminy) - miny) <= 1"
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with the triangle of their lower left half as geometry."""
+    point = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(point("minx", "miny"), point("maxx", "miny"), point("minx", "maxy"), point("minx", "miny"))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return boxes(spark, sf_dir).withColumn("geometry", F.to_json(shape))
+
+
+@query(f"WITH {BOXES}, {SHARDS} SELECT CAST(c_custkey AS VARCHAR) AS item_id, shard_y FROM boxes JOIN shards ON {MEET} AND {IN_TRIANGLE}")
+def item_shard_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.item_shards(triangles(spark, sf_dir), shards(spark, sf_dir), 3.0).select("item_id", "shard_y")
+
+
+#: The diamond |x| / 40 + |y| / 30 <= 1 without its inner half; a box meets it if its nearest point does and its farthest isn't inside the hole.
+DIAMOND = "greatest(minx, -maxx, 0) / 40 + greatest(miny, -maxy, 0) / 30 <= 1 AND greatest(abs(minx), abs(maxx)) / 20 + greatest(abs(miny), abs(maxy)) / 15 >= 1"
 
 
-@query(f"WITH {BOXES} SELECT CAST(c_custkey AS VARCHAR) AS item_id FROM boxes WHERE minx <= 20 AND maxx >= -20 AND miny <= 10 AND maxy >= -10")
+@query(f"WITH {BOXES} SELECT CAST(c_custkey AS VARCHAR) AS item_id FROM boxes WHERE {DIAMOND}")
 def polygon_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ring = [[(-20.0, -10.0), (20.0, -10.0), (20.0, 10.0), (-20.0, 10.0)]]
-    return geo.meeting(boxes(spark, sf_dir), ring, "minx", "miny", "maxx", "maxy").select("item_id")
+    ring = lambda x, y: [(-x, 0.0), (0.0, -y), (x, 0.0), (0.0, y)]
+    return geo.meeting(boxes(spark, sf_dir), [[ring(40.0, 30.0), ring(20.0, 15.0)]], "minx", "miny", "maxx", "maxy").select("item_id")
 
 
 @query(

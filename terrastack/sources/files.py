@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -33,14 +34,35 @@ def read_text(spark: SparkSession, path: str) -> str:
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Whole or not at all: a temporary file, renamed."""
     jvm, p, fs = _fs(spark, path)
+    part = _written(jvm, fs, path, text)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    # one step: a reader finds the old file or the new one
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(p), over)
+
+
+def _written(jvm, fs, path: str, text: str):
     part = jvm.org.apache.hadoop.fs.Path(path + f".{jvm.java.util.UUID.randomUUID()}")
     stream = fs.create(part, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"can't rename to {path}")
+    return part
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Like ``write_text``, but of several writers the first one's file stays; the others discard theirs (False)."""
+    jvm, p, fs = _fs(spark, path)
+    part = _written(jvm, fs, path, text)
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(part), fs.makeQualified(p), none)
+    except Py4JJavaError as e:
+        fs.delete(part, False)
+        if not fs.exists(p):
+            raise OSError(f"can't rename to {path}") from e
+        return False
+    return True
 
 
 def rename(spark: SparkSession, old: str, new: str) -> bool:

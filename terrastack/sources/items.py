@@ -60,18 +60,19 @@ class PageReader(DataSourceReader):
 
         days = self.options.get("datetime", "")
         if "/" not in days or ".." in days:
-            return [InputPartition(days)]
+            return [InputPartition((0, days))]
         first, last = (dt.date.fromisoformat(d[:10]) for d in days.split("/"))
         out = []
         while first <= last:
             end = min(last, (first.replace(day=1) + dt.timedelta(days=32)).replace(day=1) - dt.timedelta(days=1))
-            out.append(InputPartition(f"{first}/{end}"))
+            out.append(InputPartition((len(out), f"{first}/{end}")))
             first = end + dt.timedelta(days=1)
         return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
-        for i, feature in enumerate(self.fetch(self.options | {"datetime": partition.value})):
-            yield i, json.dumps(feature)
+        month, days = partition.value
+        for i, feature in enumerate(self.fetch(self.options | {"datetime": days})):
+            yield (month << 40) + i, json.dumps(feature)  # one order over all months
 
 
 def catalogue_source(fetch: Callable[[dict[str, str]], Iterator[dict]], name: str = "stac") -> type[DataSource]:

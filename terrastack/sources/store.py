@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
@@ -64,7 +65,7 @@ def read_layout(spark: SparkSession, path: str) -> Layout:
 def prepare(spark: SparkSession, path: str, layout: Layout) -> Layout:
     """Write the layout once; an existing one stays and must fit. Of two writers one wins, whole."""
     if not initialised(spark, path):
-        files.write_text(spark, f"{path}/{LAYOUT}", layout.json())
+        files.write_new(spark, f"{path}/{LAYOUT}", layout.json())
     have = read_layout(spark, path)
     validate(have, layout)
     return have
@@ -258,15 +259,23 @@ def guard(spark: SparkSession, folder: str, params: str) -> None:
     """Refuse a folder of tiles that was made with other parameters."""
     path, canonical = f"{folder}/params.json", json.dumps(json.loads(params), sort_keys=True)
     if not files.exists(spark, path):
-        files.write_text(spark, path, canonical)
-    elif json.loads(files.read_text(spark, path)) != json.loads(canonical):
+        files.write_new(spark, path, canonical)
+    if json.loads(files.read_text(spark, path)) != json.loads(canonical):
         raise ValueError(f"{folder} was made with other parameters")
 
 
-def write_tiles(frame: DataFrame, folder: str) -> None:
-    """Footprints with their ``tile``, one folder each: a tile's folder appears when all tiles of the job are committed."""
+def write_tiles(frame: DataFrame, folder: str, tiles: Iterable[str]) -> None:
+    """Footprints with their ``tile``, one folder each, and a note that ``tiles`` are done, empty ones included.
+
+    The note is written after the tiles are committed: what a lost job has left is overwritten by the next one, and
+    what it has noted isn't done again.
+    """
     frame.repartition("tile").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(folder)
+    names = sorted(tiles)
+    digest = hashlib.sha256("\n".join(names).encode()).hexdigest()[:16]
+    files.write_text(frame.sparkSession, f"{folder}/_done/{digest}", "\n".join(names))
 
 
 def done_tiles(spark: SparkSession, folder: str) -> list[str]:
-    return [d[5:] for d in files.listed(spark, folder) if d.startswith("tile=")]
+    notes = [files.read_text(spark, f"{folder}/_done/{f}") for f in files.listed(spark, f"{folder}/_done") if "." not in f]
+    return sorted({t for n in notes for t in n.split("\n") if t})
