@@ -1,10 +1,12 @@
-"""Commands: ``python -m terrastack.cli``: init, search, coverage, mosaic, vrt, clean, gedi, rechunk, check."""
+"""Commands: ``python -m terrastack.cli``: init, search, download, coverage, mosaic, vrt, clean, gedi, rechunk, check."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import shutil
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +14,26 @@ from pyspark.sql import functions as F
 
 from terrastack.functions import geo, times
 from terrastack.functions.strings import store_name, tile_key
-from terrastack.operators import catalog, composite, coverage, footprints, spatial
+from terrastack.operators import catalog, composite, coverage, footprints, spatial, stats
 from terrastack.sources import files, items, registry, store
 
 #: Footprint tiles of one job: what a lost driver has to do again at most.
 TILES = 256
 
 
+def copied(href: str, target: str) -> int:
+    """Copy a file or link to a path that the executors reach as a file, whole or not at all."""
+    from urllib.request import urlopen
+
+    path = Path(target.removeprefix("file://"))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(path.name + ".part")
+    with urlopen(href if "://" in href else Path(href).resolve().as_uri()) as source, part.open("wb") as out:  # noqa: S310
+        shutil.copyfileobj(source, out)
+    part.replace(path)
+    return path.stat().st_size
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("terrastack").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
@@ -101,6 +116,26 @@ def mosaic(spark: SparkSession, job: registry.Job, obs: DataFrame, task: int = 0
     return paths
 
 
+def download(spark: SparkSession, job: registry.Job, found: DataFrame, keys: list[str], copy: Callable[[str, str], int]) -> DataFrame:
+    """Copy the assets that aren't copied yet; returns the items with what they have, without assets that don't exist.
+
+    What was copied is a table next to the cache, appended to when a run ends, so runs resume. An asset that the server
+    says isn't there (404) is left out of its item; any other error stops the job after the rest is copied.
+    """
+    log, cache = f"{job.output_dir}/downloads", f"{job.output_dir}/cache"
+    done = spark.read.parquet(log).where("error is null") if files.exists(spark, log) else None
+    gone = lambda e: getattr(e, "code", None) == 404
+    items.copy_assets(found, cache, keys, items.retrying(copy, give_up=gone), done).write.mode("append").parquet(log)
+    told = spark.read.parquet(log)
+    open_ = told.where("error is not null").join(told.where("error is null").select("item_id", "key"), ["item_id", "key"], "left_anti")
+    assets = found.select("item_id", F.explode("assets").alias("key", "href"))
+    missing = stats.missing_assets(open_.select("item_id", F.col("href").alias("url"), "status"), assets)
+    bad = missing.where("keys is null").select("item_id").limit(5).collect()
+    if bad:
+        raise OSError(f"not copied: {', '.join(r[0] for r in bad)}; see {log}")
+    return items.kept_items(found, missing)
+
+
 def report(spark: SparkSession, job: registry.Job, found: DataFrame, borders: dict | None = None) -> DataFrame:
     """Coverage of every shard of every zone."""
     chunk, _, shard = geo.layout((job.chunks or {}).get("x"), job.shard_factor, job.compute_chunk_factor)
@@ -163,6 +198,8 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name)
         c.add_argument("section", help="s1, s2 or a custom section"), c.add_argument("config"), c.add_argument("--items"), c.add_argument("--observations"), c.add_argument("--borders")
         c.add_argument("--task-id", type=int, default=0), c.add_argument("--n-tasks", type=int, default=1), c.add_argument("--accept-heterogeneous-baselines", action="store_true"), c.add_argument("--output")
+    c = sub.add_parser("download", help="copy assets of the items found")
+    c.add_argument("section"), c.add_argument("config"), c.add_argument("--items"), c.add_argument("--assets", nargs="*"), c.add_argument("--output")
     c = sub.add_parser("gedi")
     c.add_argument("product", choices=["l2a", "l4a"]), c.add_argument("config"), c.add_argument("--footprints", required=True), c.add_argument("--borders")
     c = sub.add_parser("rechunk")
@@ -187,7 +224,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     job = registry.load(a.config, a.section)
     found = lambda: spark.read.parquet(a.items or f"{job.output_dir}/items")
-    if a.command == "search":
+    if a.command == "download":
+        download(spark, job, found(), a.assets or job.resolved_bands(), copied).write.parquet(a.output or f"{job.output_dir}/cached_items")
+    elif a.command == "search":
         search(spark, job, found(), borders, a.accept_heterogeneous_baselines)
     elif a.command == "coverage":
         report(spark, job, found(), borders).write.mode("overwrite").parquet(a.output or f"{job.output_dir}/coverage")

@@ -509,6 +509,17 @@ def resample_mask_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.resampled(one, ["scl"], 3.0, {"*": "average"}, mask="scl")
 
 
+@query(
+    f"""WITH {GRIDDED}, one AS (SELECT epsg, y, x, max(red) AS red FROM g GROUP BY ALL),
+  wide AS (SELECT DISTINCT epsg, CAST(floor(y / 2.5) AS INTEGER) AS ty, CAST(floor(x / 2.5) AS INTEGER) AS tx FROM one),
+  pairs AS (SELECT w.*, red, (1 - abs(y - ((ty + 0.5) * 2.5 - 0.5))) * (1 - abs(x - ((tx + 0.5) * 2.5 - 0.5))) AS weight FROM wide w JOIN one o ON o.epsg = w.epsg AND abs(y - ((ty + 0.5) * 2.5 - 0.5)) < 1 AND abs(x - ((tx + 0.5) * 2.5 - 0.5)) < 1)
+  SELECT w.epsg, w.ty AS y, w.tx AS x, round(CAST(sum(weight * red) / sum(CASE WHEN red IS NOT NULL THEN weight END) AS DOUBLE), 6) AS red FROM wide w LEFT JOIN pairs p ON p.epsg = w.epsg AND p.ty = w.ty AND p.tx = w.tx GROUP BY ALL"""
+)
+def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = gridded(spark, sf_dir).groupBy("epsg", "y", "x").agg(F.max("red").alias("red"))
+    return raster.resampled(one, ["red"], 2.5, {"red": "bilinear"}).withColumn("red", F.round("red", 6))
+
+
 @query(
     f"""WITH {GRIDDED}, c AS (SELECT epsg, y // 2 AS y, x // 2 AS x, avg(red) AS red FROM g GROUP BY ALL)
   SELECT epsg, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(CASE WHEN red > 0 THEN least(red + 20, 65535) ELSE 0 END, 6) AS red FROM c"""

@@ -96,8 +96,26 @@ def catalogue_source(fetch: Callable[[dict[str, str]], Iterator[dict]], name: st
     return Catalogue
 
 
+def retrying(copy: Callable[[str, str], int], attempts: int = 4, wait: float = 1.0, give_up: Callable[[Exception], bool] = lambda e: False) -> Callable[[str, str], int]:
+    """``copy`` tried again after an error, waiting twice as long each time, unless ``give_up`` says it is of no use."""
+
+    def again(href: str, target: str) -> int:
+        import time
+
+        for left in range(attempts - 1, -1, -1):
+            try:
+                return copy(href, target)
+            except Exception as e:  # noqa: BLE001  the last one is raised
+                if not left or give_up(e):
+                    raise
+                time.sleep(wait * 2 ** (attempts - 1 - left))
+        raise ValueError("no attempt")
+
+    return again
+
+
 def copy_assets(items: DataFrame, cache: str, keys: list[str], copy: Callable[[str, str], int], done: DataFrame | None = None) -> DataFrame:
-    """``downloads(name, item_id, key, seconds, n_bytes, error)`` of assets copied to ``cache/<item>/<key><suffix>``.
+    """``downloads(name, item_id, key, href, seconds, n_bytes, error, status)`` of assets copied to ``cache/<item>/<key><suffix>``.
 
     ``copy(href, target)`` returns the bytes; it must write a temporary file and rename it. What ``done(item_id, key)``
     holds is skipped, items lacking a key just lack it, and an error is a row, not a failure of the job.
@@ -117,15 +135,15 @@ def copy_assets(items: DataFrame, cache: str, keys: list[str], copy: Callable[[s
         for frame in frames:
             rows = []
             for r in frame.itertuples():
-                start, n, error = time.monotonic(), None, None
+                start, n, error, status = time.monotonic(), None, None, None
                 try:
                     n = copy(r.href, r.target)
                 except Exception as e:  # noqa: BLE001  reported as a row
-                    error = f"{type(e).__name__}: {e}"
-                rows.append((f"{r.item_id}/{r.key}", r.item_id, r.key, time.monotonic() - start, n, error))
-            yield pd.DataFrame(rows, columns=["name", "item_id", "key", "seconds", "n_bytes", "error"])
+                    error, status = f"{type(e).__name__}: {e}", getattr(e, "code", None)
+                rows.append((f"{r.item_id}/{r.key}", r.item_id, r.key, r.href, time.monotonic() - start, n, error, status))
+            yield pd.DataFrame(rows, columns=["name", "item_id", "key", "href", "seconds", "n_bytes", "error", "status"])
 
-    return wanted.mapInPandas(run, "name string, item_id string, key string, seconds double, n_bytes long, error string")
+    return wanted.mapInPandas(run, "name string, item_id string, key string, href string, seconds double, n_bytes long, error string, status long")
 
 
 def kept_items(items: DataFrame, missing: DataFrame) -> DataFrame:

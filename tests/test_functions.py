@@ -80,6 +80,45 @@ def test_polygons():
     assert geo.intersects(triangle, boxes).tolist() == [True, False, True, True, False]
 
 
+def test_holes_are_outside():
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    boxes = np.array([[4, 4, 5, 5], [1, 1, 1.5, 1.5], [2, 2, 4, 4], [11, 11, 12, 12], [20, 20, 21, 21]], float)
+    assert geo.intersects([[square(0.0, 10.0), square(3.0, 7.0)], square(10.5, 13.0)], boxes).tolist() == [False, True, True, True, False]
+    assert geo.bounds([[square(0.0, 10.0), square(3.0, 7.0)]]) == (0.0, 0.0, 10.0, 10.0)
+
+
+def test_items_meet_units_by_their_own_geometry(spark):
+    """A slanted footprint; one without a geometry; one that spans the world, whose cells are larger."""
+    slant = '{"type": "Polygon", "coordinates": [[[0, 0], [10, 10], [10, 9], [1, 0], [0, 0]]]}'
+    rows = [("slant", 0.0, 0.0, 10.0, 10.0, slant), ("box", 0.0, 0.0, 10.0, 10.0, None), ("world", -180.0, -90.0, 180.0, 90.0, None), ("nowhere", None, None, None, None, None)]
+    items = spark.createDataFrame(rows, "item_id string, minx double, miny double, maxx double, maxy double, geometry string")
+    units = spark.createDataFrame([(0, 5.0, 5.0, 5.5, 5.5), (1, 1.0, 8.0, 1.5, 8.5), (2, 100.0, 50.0, 101.0, 51.0)], "shard_y int, sminx double, sminy double, smaxx double, smaxy double")
+    got = {(r.item_id, r.shard_y) for r in spatial.item_shards(items, units, 0.5).collect()}
+    assert got == {("slant", 0), ("box", 0), ("box", 1), *((i, s) for i in ("world", "nowhere") for s in range(3))}
+    assert spatial.item_shards(items, units, 0.5).count() == len(got)
+
+
+def test_blob_links(spark):
+    links = ["https://acc.blob.core.windows.net/box/a/b.tif?sig=1", "https://example.org/box/a", "nothing"]
+    df = spark.createDataFrame([(x,) for x in links], "href string")
+    account, container = strings.blob_account(F.col("href"))
+    assert [tuple(r) for r in df.select(account, container).collect()] == [("acc", "box"), (None, None), (None, None)]
+
+
+def test_masks_are_joined_by_pixel(spark):
+    obs = spark.createDataFrame([("a", 1, 0, 0, 5.0), ("a", 1, 0, 1, 6.0)], "item_id string, epsg int, y int, x int, red double")
+    masks = spark.createDataFrame([("a", 1, 0, 0, 2)], "item_id string, epsg int, y int, x int, ocm int")
+    assert sorted((r.x, r.ocm) for r in raster.with_mask(obs, masks).collect()) == [(0, 2), (1, None)]
+    with pytest.raises(ValueError, match="'b' has no mask"):
+        raster.with_mask(obs.withColumn("item_id", F.lit("b")), masks)
+
+
+def test_request_ranges():
+    assert times.request_range(None, None) is None
+    assert times.request_range("2020-01-02", None) == ("2020-01-02T00:00:00Z", "2100-01-01T23:59:59Z")
+    assert times.request_range(None, "2020-01-02") == ("1900-01-01T00:00:00Z", "2020-01-02T23:59:59Z")
+
+
 def test_layout():
     assert geo.layout() == (256, 1024, 8192)
     assert geo.layout(4, 2, 1) == (4, 4, 8)

@@ -132,6 +132,92 @@ def test_catalogue_source(spark):
     assert sorted(r.item_id for r in items.flattened(df).collect()) == ["2020-01-15/2020-01-31", "2020-02-01/2020-02-29", "2020-03-01/2020-03-02"]
 
 
+def test_pages_keep_one_order(spark):
+    spark.dataSource.register(items.catalogue_source(lambda options: iter([FEATURE | {"id": options["datetime"][:7] + x} for x in "ab"]), "ordered"))
+    df = spark.read.format("ordered").option("datetime", "2020-01-15/2020-03-02").load()
+    got = [r.item_id for r in items.flattened(df).orderBy("pos").collect()]
+    assert got == [m + x for m in ("2020-01", "2020-02", "2020-03") for x in "ab"]
+
+
+def test_downloads_resume_and_leave_out_what_does_not_exist(spark, tmp_path):
+    df = spark.createDataFrame([("a", {"red": "x/r.tif", "scl": "x/s.tif"}), ("b", {"red": "gone.tif", "scl": "x/t.tif"}), ("c", {"red": "gone.tif"})], "item_id string, assets map<string,string>")
+    j, calls = job(tmp_path / "o"), str(tmp_path / "calls")
+
+    class Answer(OSError):
+        def __init__(self, code):
+            super().__init__(f"HTTP {code}")
+            self.code = code
+
+    def copy(href, target):
+        with open(calls, "a") as f:
+            f.write(href + "\n")
+        if href.startswith("gone"):
+            raise Answer(404)
+        return len(href)
+
+    got = cli.download(spark, j, df, ["red", "scl"], copy)
+    assert {r.item_id: r.assets for r in got.collect()} == {"a": {"red": "x/r.tif", "scl": "x/s.tif"}, "b": {"scl": "x/t.tif"}}
+    first = open(calls).read().split()
+    assert sorted(first) == ["gone.tif", "gone.tif", "x/r.tif", "x/s.tif", "x/t.tif"]  # what doesn't exist isn't tried again
+    cli.download(spark, j, df, ["red", "scl"], copy)
+    assert open(calls).read().split()[len(first) :] == ["gone.tif", "gone.tif"]
+
+    def refused(href, target):
+        raise Answer(403)
+
+    with pytest.raises(OSError, match="not copied"):
+        cli.download(spark, job(tmp_path / "p"), df, ["red"], items.retrying(refused, 1))
+
+
+def test_retries():
+    seen = []
+
+    def flaky(href, target):
+        seen.append(href)
+        if len(seen) < 3:
+            raise OSError("again")
+        return 7
+
+    assert items.retrying(flaky, wait=0.001)("x", "y") == 7 and len(seen) == 3
+    seen.clear()
+    with pytest.raises(OSError):
+        items.retrying(flaky, wait=0.001, give_up=lambda e: True)("x", "y")
+    assert len(seen) == 1
+
+
+def test_of_two_writers_one_wins_whole(spark, tmp_path):
+    path = str(tmp_path / "t.json")
+    assert files.write_new(spark, path, "first") and not files.write_new(spark, path, "second")
+    assert files.read_text(spark, path) == "first"
+    files.write_text(spark, path, "third")
+    assert files.read_text(spark, path) == "third" and [n for n in files.listed(spark, str(tmp_path)) if not n.startswith(".")] == ["t.json"]
+
+
+def test_areas_have_holes_and_degrees(tmp_path):
+    ring = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    shape = {"type": "Polygon", "coordinates": [ring(0, 10), ring(3, 7)]}
+    assert [len(p) for p in registry.polygons_of({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": shape}]})] == [2]
+    named = lambda n: shape | {"crs": {"type": "name", "properties": {"name": n}}}
+    assert registry.polygons_of(named("urn:ogc:def:crs:OGC:1.3:CRS84"))
+    with pytest.raises(ValueError, match="32736"):
+        registry.polygons_of(named("urn:ogc:def:crs:EPSG::32736"))
+
+
+def test_countries(tmp_path):
+    box = lambda n, x: {"type": "Feature", "properties": {"name": n}, "geometry": {"type": "Polygon", "coordinates": [[[x, 0], [x + 1, 0], [x + 1, 1], [x, 1]]]}}
+    borders, fetched = {"type": "FeatureCollection", "features": [box("Northland", 0), box("Southland", 5)]}, []
+
+    def fetch():
+        fetched.append(1)
+        return json.dumps(borders).encode()
+
+    for _ in range(2):
+        known = registry.cached_borders(tmp_path / "c" / "borders.json", fetch)
+    assert len(fetched) == 1 and len(registry.country_polygons(["Southland", "Northland"], known)) == 2
+    with pytest.raises(ValueError, match="Northland"):
+        registry.country_polygons(["north"], known)
+
+
 def test_copy_assets(spark, tmp_path):
     df = spark.createDataFrame([("a", {"red": "x/r.tif", "scl": "x/s.tif"}), ("b", {"red": "bad.tif"})], "item_id string, assets map<string,string>")
 
@@ -193,6 +279,14 @@ def test_gedi_job(spark, tmp_path):
     assert cli.gedi(spark, j, "l2a", shots) and not cli.gedi(spark, j, "l2a", shots)
     out = spark.read.parquet(j.output)
     assert out.columns == ["time", "elevation_lm", "elevation_hr", "rh50", "lon", "lat"] and out.count() == 360
+    notes = lambda: store.done_tiles(spark, str(tmp_path / "tiles"))
+    frame = spark.createDataFrame([("x", 1), ("z", 3)], "tile string, v int")
+    store.write_tiles(frame.where("tile = 'x'"), str(tmp_path / "tiles"), ["x", "y"])  # y is empty, and done
+    assert notes() == ["x", "y"]
+    frame.where("tile = 'z'").write.partitionBy("tile").mode("append").parquet(str(tmp_path / "tiles"))  # a job lost before its note
+    assert notes() == ["x", "y"]
+    store.write_tiles(frame.where("tile = 'z'"), str(tmp_path / "tiles"), ["z"])
+    assert notes() == ["x", "y", "z"] and spark.read.parquet(str(tmp_path / "tiles")).count() == 2
     store.guard(spark, str(tmp_path / "t"), '{"a": 1}')
     with pytest.raises(ValueError):
         store.guard(spark, str(tmp_path / "t"), '{"a": 2}')
