@@ -120,32 +120,45 @@ def stacked(mosaic_: DataFrame, names: list[str], keys: Iterable[str] = PIXEL) -
 
 
 def bricks(obs: DataFrame, bands: list[str], side: int = 64, method: str = "median") -> DataFrame:
-    """The same composite over dense bricks, for scenes with many time steps a pixel.
+    """The same composite brick by brick, for scenes with many time steps a pixel: Arrow tables, no row leaves numpy.
 
-    Rows of one brick meet in one task and are reduced as an array (time, y, x) with numpy; the keys of a group are
-    bounded by the brick's pixels times its time steps. Every pixel that has a row comes out, null if nothing is valid.
+    Rows of one brick meet in one task and are sorted by pixel and value at once; a group is bounded by the brick's
+    pixels times its time steps. Every pixel that has a row comes out, null if nothing is valid.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    how = {"median": np.nanmedian, "mean": np.nanmean, "min": np.nanmin, "max": np.nanmax, "std": np.nanstd, "var": np.nanvar}[method]
+    if method not in ("median", "mean", "min", "max", "std", "var"):
+        raise ValueError(f"no reduction {method!r} over bricks")
 
-    def reduce(frame: pd.DataFrame) -> pd.DataFrame:
-        step = frame.groupby(["y", "x"]).cumcount().to_numpy()
-        y, x = frame["y"].to_numpy() % side, frame["x"].to_numpy() % side
-        out = frame[["epsg", "y", "x"]].drop_duplicates().reset_index(drop=True)
-        oy, ox = out["y"].to_numpy() % side, out["x"].to_numpy() % side
+    def reduce(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        y, x = rows.column("y").to_numpy(), rows.column("x").to_numpy()
+        pixel, place = np.unique(y.astype(np.int64) % side * side + x % side, return_inverse=True)
+        out = []
         for b in bands:
-            cube = np.full((step.max() + 1, side, side), np.nan)
-            cube[step, y, x] = frame[b].to_numpy(dtype=float)
-            with np.errstate(all="ignore"):
-                import warnings
-
-                warnings.simplefilter("ignore", RuntimeWarning)
-                values = how(cube, axis=0)[oy, ox]
-            out[b] = pd.array([None if v != v else v for v in values], dtype="Float64")
-        return out
-
-    keyed = obs.select(*PIXEL, *bands, F.expr(f"y div {side}").alias("_by"), F.expr(f"x div {side}").alias("_bx"))
+            v = rows.column(b).to_numpy().astype(float)
+            valid = ~np.isnan(v)
+            at, v = place[valid], v[valid]
+            n = np.bincount(at, minlength=len(pixel))
+            some = n > 0
+            if method in ("median", "min", "max"):
+                v = v[np.lexsort((v, at))]
+                first = (np.cumsum(n) - n)[some]
+                m = n[some]
+                got = {"min": lambda: v[first], "max": lambda: v[first + m - 1], "median": lambda: (v[first + (m - 1) // 2] + v[first + m // 2]) / 2}[method]()
+            else:
+                mean = np.bincount(at, weights=v, minlength=len(pixel))[some] / n[some]
+                if method != "mean":
+                    whole = np.zeros(len(pixel))
+                    whole[some] = mean
+                    var = np.bincount(at, weights=(v - whole[at]) ** 2, minlength=len(pixel))[some] / n[some]
+                got = mean if method == "mean" else var if method == "var" else np.sqrt(var)
+            full = np.full(len(pixel), np.nan)
+            full[some] = got
+            out.append(pa.array(full, from_pandas=True))
+        epsg, by, bx = (k.as_py() for k in key)
+        return pa.Table.from_arrays([pa.array(np.full(len(pixel), epsg, np.int32)), pa.array((by * side + pixel // side).astype(np.int32)), pa.array((bx * side + pixel % side).astype(np.int32)), *out], names=["epsg", "y", "x", *bands])
+
+    keyed = obs.select(*PIXEL, *(F.col(b).cast("double").alias(b) for b in bands), F.floor(F.col("y") / side).alias("_by"), F.floor(F.col("x") / side).alias("_bx"))
     schema = "epsg int, y int, x int, " + ", ".join(f"{b} double" for b in bands)
-    return keyed.groupBy("epsg", "_by", "_bx").applyInPandas(lambda f: reduce(f), schema)
+    return keyed.groupBy("epsg", "_by", "_bx").applyInArrow(reduce, schema)
