@@ -1,4 +1,4 @@
-"""Commands: ``python -m terrastack.cli``: init, search, download, coverage, mosaic, vrt, clean, gedi, rechunk, check."""
+"""Commands: ``python -m terrastack.cli``: init, search, download, ocm, coverage, mosaic, vrt, clean, gedi, rechunk, check."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import json
 import shutil
 import sys
 from collections.abc import Callable
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from terrastack.functions import geo, times
 from terrastack.functions.strings import store_name, tile_key
-from terrastack.operators import catalog, composite, coverage, footprints, spatial, stats
+from terrastack.operators import catalog, composite, coverage, footprints, raster, spatial, stats
 from terrastack.sources import files, items, registry, store
 
 #: Footprint tiles of one job: what a lost driver has to do again at most.
@@ -104,9 +105,34 @@ def plan_stores(spark: SparkSession, job: registry.Job, borders: dict | None = N
     return out
 
 
+def masks_folder(job: registry.Job) -> str:
+    return f"{job.output_dir}/masks"
+
+
+def mask_factor(job: registry.Job) -> int:
+    return max(1, geo.mask_grid(1, 1, job.resolution)[0])
+
+
+def masks(spark: SparkSession, job: registry.Job, obs: DataFrame, load: Callable[[str | None], Callable]) -> str:
+    """Cloud masks of all items that have none yet, by a model that ``load(model folder)`` makes in each worker.
+
+    Observations ``(item_id, epsg, y, x, red, green, nir)`` are averaged to the mask's grid; if they have ``dn_offset``
+    they are brought to the common encoding first.
+    """
+    if not job.ocm:
+        raise ValueError("ocm isn't asked for in the settings")
+    folder = job.ocm_model_dir
+    keys = ("item_id", "epsg", "dn_offset") if "dn_offset" in obs.columns else ("item_id", "epsg")
+    by = catalog.shift(F.col("dn_offset")) if "dn_offset" in obs.columns else 0
+    store.write_masks(raster.mask_input(obs, mask_factor(job), by, keys=keys), masks_folder(job), raster.Lazy(lambda: load(folder)))
+    return masks_folder(job)
+
+
 def mosaic(spark: SparkSession, job: registry.Job, obs: DataFrame, task: int = 0, tasks: int = 1, borders: dict | None = None, method: str = "median") -> dict[int, str]:
     """Composites of all open units of all zones from observations ``(epsg, y, x, item_id, pos, solar_day, .., bands)``."""
     mask, out = job.mask()
+    if job.ocm and "ocm" not in obs.columns:
+        obs = raster.with_mask(obs, store.read_masks(spark, masks_folder(job)), factor=mask_factor(job))
     paths = plan_stores(spark, job, borders)
     for epsg, path in paths.items():
         todo = spatial.share(store.open_units(spark, path), task, tasks)
@@ -200,6 +226,8 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--task-id", type=int, default=0), c.add_argument("--n-tasks", type=int, default=1), c.add_argument("--accept-heterogeneous-baselines", action="store_true"), c.add_argument("--output")
     c = sub.add_parser("download", help="copy assets of the items found")
     c.add_argument("section"), c.add_argument("config"), c.add_argument("--items"), c.add_argument("--assets", nargs="*"), c.add_argument("--output")
+    c = sub.add_parser("ocm", help="write cloud masks of the items observed")
+    c.add_argument("section"), c.add_argument("config"), c.add_argument("--observations", required=True), c.add_argument("--model", required=True, help="module:function that makes a model from its folder")
     c = sub.add_parser("gedi")
     c.add_argument("product", choices=["l2a", "l4a"]), c.add_argument("config"), c.add_argument("--footprints", required=True), c.add_argument("--borders")
     c = sub.add_parser("rechunk")
@@ -224,7 +252,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     job = registry.load(a.config, a.section)
     found = lambda: spark.read.parquet(a.items or f"{job.output_dir}/items")
-    if a.command == "download":
+    if a.command == "ocm":
+        module, _, name = a.model.partition(":")
+        print(masks(spark, job, spark.read.parquet(a.observations), getattr(import_module(module), name)))
+    elif a.command == "download":
         download(spark, job, found(), a.assets or job.resolved_bands(), copied).write.parquet(a.output or f"{job.output_dir}/cached_items")
     elif a.command == "search":
         search(spark, job, found(), borders, a.accept_heterogeneous_baselines)

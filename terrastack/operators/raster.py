@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +64,27 @@ def _bilinear(pixels: DataFrame, bands: list[str], scale: float, keys: tuple[str
     return weighed.groupBy(*keys, "ty", "tx").agg(*((F.sum(F.col("_w") * F.col(b)) / valid(b)).alias(b) for b in bands))
 
 
-def mask_input(pixels: DataFrame, factor: int, shift_by: Column | int = 0, bands: tuple[str, ...] = ("red", "green", "nir")) -> DataFrame:
+def mask_input(pixels: DataFrame, factor: int, shift_by: Column | int = 0, bands: tuple[str, ...] = ("red", "green", "nir"), keys: tuple[str, ...] = ("epsg",)) -> DataFrame:
     """Bands for a cloud mask: averaged to its grid, valid values brought to the common encoding."""
-    coarse = block_average(pixels, list(bands), factor)
+    coarse = block_average(pixels, list(bands), factor, keys)
     return coarse.withColumns({b: saturating_shift(F.col(b), shift_by) for b in bands})
 
 
+class Lazy:
+    """A model that ``load`` makes in each worker at its first batch; only ``load`` travels, not the model."""
+
+    def __init__(self, load: Callable[[], Callable]) -> None:
+        self.load, self.model = load, None
+
+    def __call__(self, rows):
+        if self.model is None:
+            self.model = self.load()
+        return self.model(rows)
+
+    def __getstate__(self) -> dict:
+        return {"load": self.load, "model": None}
+
+
 def predict_mask(pixels: DataFrame, predict, bands: tuple[str, ...] = ("red", "green", "nir"), out: str = "ocm") -> DataFrame:
     """A class for each pixel from ``predict(array of rows x bands) -> classes``; 255 where any band is 0.
 
@@ -86,9 +103,13 @@ def predict_mask(pixels: DataFrame, predict, bands: tuple[str, ...] = ("red", "g
     return pixels.withColumn(out, F.when(empty, MASK_NODATA).otherwise(classes(*(F.coalesce(F.col(b).cast("double"), F.lit(0.0)) for b in bands))))
 
 
-def with_mask(obs: DataFrame, masks: DataFrame, band: str = "ocm") -> DataFrame:
-    """Observations with their item's mask class by pixel; an item without a mask is an error."""
+def with_mask(obs: DataFrame, masks: DataFrame, band: str = "ocm", factor: int = 1) -> DataFrame:
+    """Observations with their item's mask class by pixel; an item without a mask is an error.
+
+    A mask pixel covers ``factor`` by ``factor`` pixels of the observations.
+    """
     lacking = obs.select("item_id").distinct().join(masks.select("item_id").distinct(), "item_id", "left_anti").limit(1).collect()
     if lacking:
         raise ValueError(f"item {lacking[0][0]!r} has no mask")
-    return obs.join(masks.select("item_id", "epsg", "y", "x", band), ["item_id", "epsg", "y", "x"], "left")
+    at = masks.select("item_id", "epsg", F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), band)
+    return obs.withColumns({"_y": F.expr(f"y div {factor}"), "_x": F.expr(f"x div {factor}")}).join(at, ["item_id", "epsg", "_y", "_x"], "left").drop("_y", "_x")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -73,3 +76,13 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
 def delete(spark: SparkSession, path: str) -> bool:
     _, p, fs = _fs(spark, path)
     return bool(fs.delete(p, True))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; where none is set, a temporary one for a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

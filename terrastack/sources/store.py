@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terrastack.functions.geo import Grid, shard_grid
 from terrastack.functions.strings import nodata_text
+from terrastack.operators.raster import predict_mask
 from terrastack.operators.spatial import carried_skips, pending
 from terrastack.sources import files
 
@@ -279,3 +281,29 @@ def write_tiles(frame: DataFrame, folder: str, tiles: Iterable[str]) -> None:
 def done_tiles(spark: SparkSession, folder: str) -> list[str]:
     notes = [files.read_text(spark, f"{folder}/_done/{f}") for f in files.listed(spark, f"{folder}/_done") if "." not in f]
     return sorted({t for n in notes for t in n.split("\n") if t})
+
+
+#: Rows of mask pixels that one task writes of an item.
+MASK_ROWS = 1024
+
+
+def write_masks(pixels: DataFrame, folder: str, predict: Callable, bands: tuple[str, ...] = ("red", "green", "nir"), band: str = "ocm") -> None:
+    """Mask classes of ``(item_id, epsg, y, x, bands ..)``, one folder for each item; items that are there are left out.
+
+    A run commits all of its items at once. Items are dealt by stretches of rows, so a large one is written by several
+    tasks. An item without pixels has no mask.
+    """
+    done = pixels.sparkSession.createDataFrame([(i,) for i in masked_items(pixels.sparkSession, folder)], "item_id string")
+    todo = pixels.join(done, "item_id", "left_anti")
+    made = predict_mask(todo, predict, bands, band).select("item_id", "epsg", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), band)
+    dealt = made.repartition("item_id", "epsg", F.expr(f"y div {MASK_ROWS}")).sortWithinPartitions("item_id", "epsg", "y", "x")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("item_id").parquet(folder)
+
+
+def masked_items(spark: SparkSession, folder: str) -> list[str]:
+    """Items whose masks are there, from folder names."""
+    return [unquote(f[len("item_id=") :]) for f in files.listed(spark, folder) if f.startswith("item_id=")]
+
+
+def read_masks(spark: SparkSession, folder: str, band: str = "ocm") -> DataFrame:
+    return spark.read.schema(f"epsg int, y int, x int, `{band}` int, item_id string").parquet(folder)

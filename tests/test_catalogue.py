@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from terrastack.plans.catalogue import ORACLES, QUERIES
+from terrastack.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

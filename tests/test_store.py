@@ -290,3 +290,61 @@ def test_gedi_job(spark, tmp_path):
     store.guard(spark, str(tmp_path / "t"), '{"a": 1}')
     with pytest.raises(ValueError):
         store.guard(spark, str(tmp_path / "t"), '{"a": 2}')
+
+
+def bright(folder):
+    """A model for the tests: bright pixels are clouds."""
+    return lambda rows: (rows[:, 0] > 100).astype(int)
+
+
+def test_cloud_masks_are_written_once_and_used(spark, tmp_path):
+    j = job(tmp_path)
+    j.ocm, j.bands = True, ["red", "green", "nir"]
+    grid = cli.grids(j, spark)[0]
+    obs = observations(spark, grid.height, grid.width).drop("scl")
+    value = F.when(F.col("item_id") == "b", 200.0).otherwise(10.0)
+    both = obs.withColumn("item_id", F.lit("a")).unionByName(obs.withColumns({"item_id": F.lit("b"), "pos": F.col("pos") + 1})).withColumns({b: value for b in j.bands})
+    folder = cli.masks(spark, j, both.where("item_id = 'a'"), bright)
+    assert store.masked_items(spark, folder) == ["a"]
+
+    def never(_):
+        raise AssertionError("item a has a mask")
+
+    cli.masks(spark, j, both.where("item_id = 'a'"), lambda f: never)
+    with pytest.raises(ValueError, match="'b' has no mask"):
+        cli.mosaic(spark, j, both)
+    cli.masks(spark, j, both, bright)
+    assert {(r.item_id, r.ocm) for r in store.read_masks(spark, folder).distinct().collect()} >= {("a", 0), ("b", 1)}
+    path = cli.mosaic(spark, j, both)[32736]
+    assert {r.red for r in store.read(spark, path).collect()} == {10.0}
+    j.ocm = False
+    with pytest.raises(ValueError, match="isn't asked for"):
+        cli.masks(spark, j, both, bright)
+
+
+def test_a_lazy_model_travels_without_its_weights():
+    import pickle
+
+    from terrastack.operators.raster import Lazy
+
+    made = []
+    model = Lazy(lambda: made.append(1) or len)
+    assert [model([1, 2]), model([1])] == [2, 1] and len(made) == 1
+    assert Lazy(dict.copy).__getstate__()["model"] is None and pickle.loads(pickle.dumps(Lazy(dict))).model is None
+
+
+def test_commands(spark, tmp_path, capsys):
+    config = tmp_path / "job.yaml"
+    assert cli.main(["init", str(config)]) == 0
+    with pytest.raises(FileExistsError):
+        cli.main(["init", str(config)])
+    config.write_text(config.read_text().replace("./output", str(tmp_path / "out")).replace("2020-07-01", "2021-12-31"))
+    feature = lambda i, x, cloud: json.dumps({"id": i, "collection": "sentinel-2-c1-l2a", "bbox": [x, 46, x + 1, 47], "properties": {"datetime": "2021-05-01T10:00:00Z", "eo:cloud_cover": cloud, "grid:code": i}, "assets": {"red": {"href": "x"}}})
+    told = spark.createDataFrame([(0, feature("A", 6, 5)), (1, feature("B", 6, 50)), (2, feature("C", 40, 5))], "pos long, feature string")
+    catalogue = str(tmp_path / "catalogue")
+    assert items.write_items(items.flattened(told), catalogue)
+    assert cli.main(["search", "s2", str(config), "--items", catalogue]) == 0
+    found = spark.read.parquet(str(tmp_path / "out" / "s2" / "items"))
+    assert [r.item_id for r in found.collect()] == ["A"]
+    assert cli.main(["check", str(tmp_path / "nothing")]) == 1
+    assert "FAIL layout exists" in capsys.readouterr().out
