@@ -128,8 +128,11 @@ def masks(spark: SparkSession, job: registry.Job, obs: DataFrame, load: Callable
     return masks_folder(job)
 
 
-def mosaic(spark: SparkSession, job: registry.Job, obs: DataFrame, task: int = 0, tasks: int = 1, borders: dict | None = None, method: str = "median") -> dict[int, str]:
-    """Composites of all open units of all zones from observations ``(epsg, y, x, item_id, pos, solar_day, .., bands)``."""
+def mosaic(spark: SparkSession, job: registry.Job, obs: DataFrame, task: int = 0, tasks: int = 1, borders: dict | None = None, method: str = "median", on_load: Callable[[DataFrame], DataFrame] | None = None) -> dict[int, str]:
+    """Composites of all open units of all zones from observations ``(epsg, y, x, item_id, pos, solar_day, .., bands)``.
+
+    ``on_load`` sees each zone's observations before they are reduced and returns them, observed or changed.
+    """
     mask, out = job.mask()
     if job.ocm and "ocm" not in obs.columns:
         obs = raster.with_mask(obs, store.read_masks(spark, masks_folder(job)), factor=mask_factor(job))
@@ -137,21 +140,24 @@ def mosaic(spark: SparkSession, job: registry.Job, obs: DataFrame, task: int = 0
     for epsg, path in paths.items():
         todo = spatial.share(store.open_units(spark, path), task, tasks)
         own = store.with_units(obs.where(F.col("epsg") == epsg), store.read_layout(spark, path)).join(F.broadcast(todo.select(*store.KEYS)), store.KEYS, "left_semi").drop(*store.KEYS)
+        own = own if on_load is None else on_load(own)
         made = composite.mosaic(own, job.resolved_bands(), None, mask, out, method, by_orbit=job.orbit_state == "as_bands")
         store.write_units(made.drop("epsg"), path, todo, dense=True)
     return paths
 
 
-def download(spark: SparkSession, job: registry.Job, found: DataFrame, keys: list[str], copy: Callable[[str, str], int]) -> DataFrame:
+def download(spark: SparkSession, job: registry.Job, found: DataFrame, keys: list[str], copy: Callable[[str, str], int], patch: Callable[[str], str] | None = None) -> DataFrame:
     """Copy the assets that aren't copied yet; returns the items with what they have, without assets that don't exist.
 
     What was copied is a table next to the cache, appended to when a run ends, so runs resume. An asset that the server
-    says isn't there (404) is left out of its item; any other error stops the job after the rest is copied.
+    says isn't there (404) is left out of its item; any other error stops the job after the rest is copied. ``patch`` makes the link that is
+    read (a signed one) of the item's at each attempt.
     """
     log, cache = f"{job.output_dir}/downloads", f"{job.output_dir}/cache"
     done = spark.read.parquet(log).where("error is null") if files.exists(spark, log) else None
     gone = lambda e: getattr(e, "code", None) == 404
-    items.copy_assets(found, cache, keys, items.retrying(copy, give_up=gone), done).write.mode("append").parquet(log)
+    signed = copy if patch is None else lambda href, target: copy(patch(href), target)
+    items.copy_assets(found, cache, keys, items.retrying(signed, give_up=gone), done).write.mode("append").parquet(log)
     told = spark.read.parquet(log)
     open_ = told.where("error is not null").join(told.where("error is null").select("item_id", "key"), ["item_id", "key"], "left_anti")
     assets = found.select("item_id", F.explode("assets").alias("key", "href"))

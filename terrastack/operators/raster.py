@@ -28,40 +28,54 @@ def subsampled(pixels: DataFrame, factor: int) -> DataFrame:
 
 
 def resampled(pixels: DataFrame, bands: list[str], scale: float, methods: dict[str, str] | None = None, mask: str | None = None, keys: tuple[str, ...] = ("epsg",)) -> DataFrame:
-    """Pixels on a grid ``scale`` times coarser: by band ``nearest``, ``average`` or ``bilinear``; ``*`` sets the default.
+    """Pixels on a grid ``scale`` times coarser: by band ``nearest``, ``average``, ``bilinear`` or ``cubic``; ``*`` sets the default.
 
     A mask band is always ``nearest``: classes aren't averaged. Nearest takes the block's centre pixel, the first
-    valid towards it from the lower side. Bilinear weighs the four pixels around the block's centre; of these the null
-    ones don't count.
+    valid towards it from the lower side. Bilinear weighs the four pixels around the block's centre, cubic the sixteen
+    by convolution with a = -1/2; of these the null ones don't count, nor those beyond the edge.
     """
     methods = methods or {}
     how = lambda b: "nearest" if b == mask else methods.get(b, methods.get("*", "nearest"))
     ty, tx = F.floor(F.col("y") / scale).cast("int"), F.floor(F.col("x") / scale).cast("int")
     off = F.abs(F.col("y") + 0.5 - (ty + 0.5) * scale) + F.abs(F.col("x") + 0.5 - (tx + 0.5) * scale)
     placed = pixels.select(*keys, ty.alias("ty"), tx.alias("tx"), F.struct(off, F.col("y"), F.col("x")).alias("_off"), *bands)
-    unknown = {how(b) for b in bands} - {"nearest", "average", "bilinear"}
+    unknown = {how(b) for b in bands} - {"nearest", "average", *KERNELS}
     if unknown:
         raise ValueError(f"no resampling {sorted(unknown)}")
-    smooth = [b for b in bands if how(b) == "bilinear"]
+    smooth = [b for b in bands if how(b) in KERNELS]
     aggs = [(F.avg(b) if how(b) == "average" else F.min_by(b, "_off")).alias(b) for b in bands if b not in smooth]
     out = placed.groupBy(*keys, "ty", "tx").agg(F.count(F.lit(1)).alias("_n"), *aggs).drop("_n")
-    if smooth:
-        out = out.join(_bilinear(pixels, smooth, scale, keys), [*keys, "ty", "tx"], "left")
+    for kernel in KERNELS:
+        if some := [b for b in smooth if how(b) == kernel]:
+            out = out.join(_convolved(pixels, some, scale, keys, kernel), [*keys, "ty", "tx"], "left")
     return out.select(*keys, F.col("ty").alias("y"), F.col("tx").alias("x"), *bands)
 
 
-def _bilinear(pixels: DataFrame, bands: list[str], scale: float, keys: tuple[str, ...]) -> DataFrame:
-    """Each pixel goes to the coarse pixels whose centre is less than one pixel away, with its weight."""
+def _linear(d: Column) -> Column:
+    return F.greatest(F.lit(0.0), 1 - d)
+
+
+def _cubic(d: Column) -> Column:
+    return F.when(d <= 1, 1.5 * d * d * d - 2.5 * d * d + 1).when(d < 2, -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2).otherwise(0.0)
+
+
+#: Weight of a pixel by its distance along one axis, and how far it reaches.
+KERNELS = {"bilinear": (_linear, 1), "cubic": (_cubic, 2)}
+
+
+def _convolved(pixels: DataFrame, bands: list[str], scale: float, keys: tuple[str, ...], kernel: str) -> DataFrame:
+    """Each pixel goes to the coarse pixels whose centre is in its reach, with its weight."""
+    weight, reach = KERNELS[kernel]
 
     def reached(c: str) -> Column:
-        lo, hi = F.ceil((F.col(c) - 0.5) / scale - 0.5), F.floor((F.col(c) + 1.5) / scale - 0.5)
+        lo, hi = F.ceil((F.col(c) + 0.5 - reach) / scale - 0.5), F.floor((F.col(c) + 0.5 + reach) / scale - 0.5)
         return F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    near = lambda c, t: F.greatest(F.lit(0.0), 1 - F.abs(F.col(c) - ((F.col(t) + 0.5) * scale - 0.5)))
+    near = lambda c, t: weight(F.abs(F.col(c) - ((F.col(t) + 0.5) * scale - 0.5)))
     each = pixels.select(*keys, "y", "x", *bands, F.explode(reached("y")).alias("ty")).select("*", F.explode(reached("x")).alias("tx"))
-    weighed = each.withColumn("_w", near("y", "ty") * near("x", "tx")).where("_w > 0")
+    weighed = each.withColumn("_w", near("y", "ty") * near("x", "tx")).where("_w <> 0")
     valid = lambda b: F.sum(F.when(F.col(b).isNotNull(), F.col("_w")))
-    return weighed.groupBy(*keys, "ty", "tx").agg(*((F.sum(F.col("_w") * F.col(b)) / valid(b)).alias(b) for b in bands))
+    return weighed.groupBy(*keys, "ty", "tx").agg(*((F.sum(F.col("_w") * F.col(b)) / F.nullif(valid(b), F.lit(0.0))).alias(b) for b in bands))
 
 
 def mask_input(pixels: DataFrame, factor: int, shift_by: Column | int = 0, bands: tuple[str, ...] = ("red", "green", "nir"), keys: tuple[str, ...] = ("epsg",)) -> DataFrame:

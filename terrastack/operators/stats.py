@@ -1,10 +1,10 @@
-"""Statistics of downloads, comparison of metadata, tuning."""
+"""Statistics of downloads and loads, comparison of metadata."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,19 @@ def metadata_diff(want: DataFrame, have: DataFrame, key: str = "key", value: str
     a, b = want.select(key, F.col(value).alias("_want"), F.lit(True).alias("_in_want")), have.select(key, F.col(value).alias("_have"), F.lit(True).alias("_in_have"))
     state = F.when(F.col("_in_have").isNull(), "missing").when(F.col("_in_want").isNull(), "unexpected").when(~F.col("_want").eqNullSafe(F.col("_have")), "differs")
     return a.join(b, key, "full_outer").select(key, state.alias("state")).where("state is not null")
+
+
+def load_footprint(obs: DataFrame, side: int, n_bands: int, workers: int = 1, item_bytes: int = 4) -> DataFrame:
+    """``(steps, n_bytes, units)``: what the largest units take while they are reduced, all workers together, and how many share that shape.
+
+    A unit holds its solar days, each ``side`` by ``side`` pixels of every band.
+    """
+    units = obs.groupBy("epsg", F.expr(f"y div {side}"), F.expr(f"x div {side}")).agg(F.count_distinct("solar_day").alias("steps"))
+    shapes = units.groupBy("steps").agg(F.count(F.lit(1)).alias("units"))
+    most = shapes.agg(F.max(F.struct("steps", "units")).alias("m")).select("m.*").where("steps is not null")
+    return most.select("steps", (F.col("steps") * (side * side * n_bands * item_bytes * workers)).alias("n_bytes"), "units")
+
+
+def observed(df: DataFrame, told: Observation, bands: Sequence[str]) -> DataFrame:
+    """``df``, which tells ``told`` its rows and each band's valid values while it is read; no pass of its own."""
+    return df.observe(told, F.count(F.lit(1)).alias("rows"), *(F.count(b).alias(f"valid_{b}") for b in bands))

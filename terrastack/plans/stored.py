@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastack.functions import geo, strings, times
-from terrastack.operators import catalog, composite, footprints, raster, spatial
+from terrastack.operators import catalog, composite, footprints, raster, spatial, stats
 from terrastack.plans.catalogue import BOXES, DIAMOND, GRIDDED, ITEMS, LAT, LON, OBS, SHOTS, boxes, even_tiles, gridded, items, observations, points, query, shots, table
 from terrastack.sources import files, registry, store
 from terrastack.sources import items as scenes
@@ -158,6 +158,27 @@ def composite_prod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composite.mosaic(obs, ["value"], mask="scl", mask_out=(9,), method="prod", fuse=False)
 
 
+#: Weight of a pixel by its distance along an axis.
+CUBIC = "CASE WHEN {0} <= 1 THEN 1.5 * {0} * {0} * {0} - 2.5 * {0} * {0} + 1 WHEN {0} < 2 THEN -0.5 * {0} * {0} * {0} + 2.5 * {0} * {0} - 4 * {0} + 2 ELSE 0 END"
+
+
+@query(
+    f"""WITH {GRIDDED}, one AS (SELECT epsg, y % 30 AS y, x % 20 AS x, CAST(max(red) AS DOUBLE) AS red FROM g GROUP BY ALL), wide AS (SELECT DISTINCT epsg, CAST(floor(y / 2.5) AS INTEGER) AS ty, CAST(floor(x / 2.5) AS INTEGER) AS tx FROM one),
+  far AS (SELECT w.*, red, CAST(abs(y - ((ty + 0.5) * 2.5 - 0.5)) AS DOUBLE) AS dy, CAST(abs(x - ((tx + 0.5) * 2.5 - 0.5)) AS DOUBLE) AS dx FROM wide w JOIN one o ON o.epsg = w.epsg AND abs(y - ((ty + 0.5) * 2.5 - 0.5)) < 2 AND abs(x - ((tx + 0.5) * 2.5 - 0.5)) < 2),
+  pairs AS (SELECT epsg, ty, tx, red, ({CUBIC.format("dy")}) * ({CUBIC.format("dx")}) AS weight FROM far)
+  SELECT epsg, ty AS y, tx AS x, round(sum(weight * red) / sum(weight), 6) AS red FROM pairs GROUP BY ALL"""
+)
+def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a grid so small that hardly a pixel is missing: where most are, the weights of the rest may cancel."""
+    small = gridded(spark, sf_dir).groupBy("epsg", (F.col("y") % 30).alias("y"), (F.col("x") % 20).alias("x")).agg(F.max("red").cast("double").alias("red"))
+    return raster.resampled(small, ["red"], 2.5, {"*": "cubic"}).withColumn("red", F.round("red", 6))
+
+
+@query(f"WITH {OBS}, units AS (SELECT epsg, y // 10 AS j, x // 10 AS i, count(DISTINCT solar_day) AS steps FROM obs GROUP BY ALL), top AS (SELECT max(steps) AS steps FROM units) SELECT top.steps, top.steps * 10 * 10 * 3 * 4 * 8 AS n_bytes, count(*) AS units FROM units JOIN top USING (steps) GROUP BY ALL")
+def load_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.load_footprint(observations(spark, sf_dir), 10, 3, workers=8)
+
+
 # ---------------------------------------------------------------- items and areas
 
 
@@ -193,6 +214,13 @@ def kept_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.array_join(F.array_sort(F.map_keys("assets")), ",").alias("keys"))
 
 
+@query(f"WITH {ITEMS} SELECT item_id, 'https://x/' || item_id || '?sig=' || length(item_id) AS href FROM items")
+def patched_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = F.create_map(F.lit("red"), F.concat(F.lit("https://x/"), "item_id"))
+    out = scenes.patched(items(spark, sf_dir).withColumn("assets", assets), lambda href: f"{href}?sig={len(href) - 10}")
+    return out.select("item_id", F.col("assets")["red"].alias("href"))
+
+
 BORDERS = {
     "type": "FeatureCollection",
     "features": [

@@ -146,6 +146,16 @@ def copy_assets(items: DataFrame, cache: str, keys: list[str], copy: Callable[[s
     return wanted.mapInPandas(run, "name string, item_id string, key string, href string, seconds double, n_bytes long, error string, status long")
 
 
+def patched(items: DataFrame, patch: Callable[[str], str]) -> DataFrame:
+    """Items with each link of their assets replaced by ``patch(link)``, a signer for instance; it travels to the executors."""
+
+    @F.pandas_udf("array<string>")
+    def links(column):
+        return column.map(lambda hrefs: None if hrefs is None else [None if h is None else patch(h) for h in hrefs])
+
+    return items.withColumn("assets", F.map_from_arrays(F.map_keys("assets"), links(F.map_values("assets"))))
+
+
 def kept_items(items: DataFrame, missing: DataFrame) -> DataFrame:
     """Items without the assets that turned out missing; an item left without any goes. ``missing(item_id, keys)``."""
     out = items.join(missing.where("keys is not null"), "item_id", "left")

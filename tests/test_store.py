@@ -348,3 +348,22 @@ def test_commands(spark, tmp_path, capsys):
     assert [r.item_id for r in found.collect()] == ["A"]
     assert cli.main(["check", str(tmp_path / "nothing")]) == 1
     assert "FAIL layout exists" in capsys.readouterr().out
+
+
+def test_observations_are_seen_as_they_load(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from terrastack.operators import stats
+
+    j = job(tmp_path)
+    grid = cli.grids(j, spark)[0]
+    obs, told = observations(spark, grid.height, grid.width), Observation("loaded")
+    cli.mosaic(spark, j, obs, on_load=lambda df: stats.observed(df, told, ["red"]))
+    assert told.get == {"rows": obs.count(), "valid_red": obs.count()}
+
+
+def test_links_are_signed_when_they_are_read(spark, tmp_path):
+    found = spark.createDataFrame([("a", {"red": "x/red.tif"}), ("b", {"red": None})], "item_id string, assets map<string,string>")
+    assert [r.assets for r in items.patched(found, lambda h: h + "?s").orderBy("item_id").collect()] == [{"red": "x/red.tif?s"}, {"red": None}]
+    kept = cli.download(spark, job(tmp_path), found.where("item_id = 'a'"), ["red"], lambda href, target: 1 if href.endswith("?s") else 1 / 0, patch=lambda h: h + "?s")
+    assert [r.assets for r in kept.collect()] == [{"red": "x/red.tif"}]
