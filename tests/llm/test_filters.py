@@ -410,3 +410,46 @@ def test_formulas_are_text(trees):
 def test_held_out_pages(trees):
     x, y = html_extract.labelled(60, seed=77)
     assert ((trees.score(x) >= 0.5) == (y > 0)).mean() > 0.95
+
+
+def test_scores_equal_plain_descent():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    x[::7] = x[0]
+    trees = gbt.fit(x, (x[:, 2] + 0.3 * rng.normal(size=300) > 0).astype(float), trees=12, depth=3)
+    for row, score in zip(x, trees.score(x)):
+        total = trees.base
+        for feature, limit, value in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > limit[node] else 1)
+            total += value[node - len(feature)]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def plain_statistics(text):
+    """The classifier's inputs of one text, word by word."""
+    data = (text or "").encode()
+    found = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    of = lambda some: sum(c in some for c in data)
+    marks = b"#$%&*+/<=>@\\^_`{|}~[]!"
+    n, c, b = len(found), max(len(found), 1), max(len(data), 1)
+    pairs = list(zip(found, found[1:]))
+    return {
+        "log_bytes": np.log1p(len(data)), "log_words": np.log1p(n), "word_length": sum(map(len, found)) / c, "upper": of(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / b, "digit": of(b"0123456789") / b, "symbol": of(marks) / b,
+        "stop": of(b".?") / c, "comma": of(b",;:-'\"()") / c, "line": of(b"\n") / c, "high": sum(x >= 0x80 for x in data) / b, "marked_words": sum(any(x in marks for x in w) for w in found) / c,
+        "short_words": sum(len(w) <= 3 for w in found) / c, "long_words": sum(len(w) > 20 for w in found) / c, "same_as_before": sum(x == y for x, y in pairs) / c, "distinct_words": len(set(found)) / c,
+        "distinct_pairs": len(set(pairs)) / max(len(pairs), 1), "words_a_line": n / (of(b"\n") + 1), "sentence_length": n / (of(b".?") + 1),
+    }
+
+
+def test_statistics_equal_plain_counts(texts):
+    import pyarrow as pa
+
+    from terrastack.llm.textkit import buffer
+
+    more = [*texts, None, "", " \n ", "one", "Ab 12 Ab 12, é#x? " * 30, "x" * 50 + " yes yes\n\nno."]
+    got = quality.statistics(*buffer(pa.array(more, pa.string())))
+    for text, row in zip(more, got):
+        want = plain_statistics(text)
+        assert list(want) == quality.NAMES and np.allclose(row, list(want.values()))
