@@ -270,7 +270,7 @@ def blob_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- footprints
 
 
-@query(f"WITH {SHOTS} SELECT to_timestamp(vec_id * 1000 % 7919)::TIMESTAMP AS time, sensitivity, vec_id, rh[51] AS rh50, rh[99] AS rh98, lon, lat FROM shots WHERE solar_elevation <= 0 AND sensitivity >= 0.9 AND rh[99] BETWEEN 0 AND 80")
+@query(f"WITH {SHOTS} SELECT TIMESTAMP '1970-01-01' + to_seconds(vec_id * 1000 % 7919) AS time, sensitivity, vec_id, rh[51] AS rh50, rh[99] AS rh98, lon, lat FROM shots WHERE solar_elevation <= 0 AND sensitivity >= 0.9 AND rh[99] BETWEEN 0 AND 80")
 def footprint_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields in order, each once, without the raw array."""
     out = footprints.heights(shots(spark, sf_dir), ["sensitivity", "vec_id"], ["vec_id", "rh"], (50, 98))
