@@ -11,6 +11,9 @@ Equal fingerprints are one node, so groups of copies cost one row. Rows of a buc
 holds it; only a spanning forest leaves the task, never all pairs. Buckets of more than ``CHUNK`` rows, known
 by the keys of a share of all nodes, are dealt in chunks, and each pair of chunks is a task's work of its own: no task holds
 a bucket that grows with the corpus, and no pair is left out.
+
+Groups by the similarity of shingle sets (``similar_groups``) don't probe bits, which meet ever more unlike texts as a
+corpus grows, but prefixes of the sets, and look at the fingerprints where these meet.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SEED = 42
 CHUNK, MEASURED = 1024, 8
 #: Rows of a task that links buckets.
 TASK_ROWS = 1_000_000
+#: Texts by which common shingles are known, how many of them hold one, and how many are listed at most.
+SAMPLED, OFTEN, LISTED = 10_000, 4, 1 << 18
 
 
 def shingles_of(text: bytes, shingle: int) -> list[bytes]:
@@ -51,14 +56,13 @@ def shingles_of(text: bytes, shingle: int) -> list[bytes]:
 def fingerprint(text: bytes, shingle: int, count: int) -> list[int]:
     """``count`` 64-bit fingerprints of a text: the first is of XXH64 (seed 42), the next of seeds 43 and up."""
     shingles = shingles_of(text, shingle)
-    if not shingles:
-        return [0] * count
-    out = []
+    return [majority(hashed(shingles, seed)) for seed in range(SEED, SEED + count)] if shingles else [0] * count
+
+
+def hashed(shingles: list[bytes], seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle."""
     digest = xxhash.xxh64_intdigest
-    for seed in range(SEED, SEED + count):
-        h = np.array([digest(s, seed) for s in shingles], dtype="<u8")
-        out.append(majority(h))
-    return out
+    return np.array([digest(s, seed) for s in shingles], dtype="<u8")
 
 
 def majority(h: np.ndarray) -> int:
@@ -302,6 +306,18 @@ def linked_by(nodes: DataFrame, word: int, tau: int, count: int, most: int | Non
         for batch in probe(batches):
             yield batch.select(["key"])
 
+    schema = "key long, component long, side int, " + ", ".join(f"{x} long" for x in names)
+    measured = nodes.where(F.pmod(F.xxhash64("node", *names), F.lit(MEASURED)) == 0).select("component", *names).mapInArrow(measure, "key long")
+    sizes = measured.groupBy("key").agg((F.count(F.lit(1)) * MEASURED).alias("rows"))
+    return bucket_links(nodes.select("component", *names).mapInArrow(probe, schema), sizes, tasks, names, word, tau, most)
+
+
+def bucket_links(rows: DataFrame, sizes: DataFrame, tasks: int, names: list[str], word: int, tau: int, most: int | None) -> DataFrame:
+    """Edges ``(a, b)`` that connect all linked components of ``rows(key, component, side, f0, ..)`` with an equal key.
+
+    ``sizes(key, rows)`` tells the buckets that are dealt in chunks; ``side`` is -1.
+    """
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # of the last bucket
         for batch in batches:
@@ -359,11 +375,8 @@ def linked_by(nodes: DataFrame, word: int, tau: int, count: int, most: int | Non
             edges = np.unique(rows[:, 1][np.stack((root[member], member), axis=1)], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
-    schema = "key long, component long, side int, " + ", ".join(f"{x} long" for x in names)
-    measured = nodes.where(F.pmod(F.xxhash64("node", *names), F.lit(MEASURED)) == 0).select("component", *names).mapInArrow(measure, "key long")
-    large = measured.groupBy("key").agg((F.count(F.lit(1)) * MEASURED).alias("rows")).where(F.col("rows") > CHUNK)
-    large = staged(large.select("key", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "large")
-    rows = nodes.select("component", *names).mapInArrow(probe, schema)
+    large = sizes.where(F.col("rows") > CHUNK).select("key", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
+    large = staged(large, "large")
     if large.isEmpty():
         return rows.repartition(tasks, "key").sortWithinPartitions("key", "component").mapInArrow(link, "a long, b long")
     # by the key a bucket would be hot itself: what isn't broadcast is joined in parts
@@ -463,42 +476,112 @@ def verified(texts: DataFrame, members: DataFrame, shingle: int, similarity: flo
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, shingle: int, similarity: float, tau: int, count: int, most: int, probed: int) -> DataFrame:
+def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """Of the hashes of a text's shingles the first of the set, so many that it shares one with any set of ``similarity``.
+
+    One order holds for all sets: the hashes in ``common`` (sorted) last, else by value. The first shingle that two
+    sets share has all the others that they share, at least ``similarity`` of either set, behind it. Sets without shingles share
+    key zero.
+    """
+    values = np.unique(shingles)
+    if not len(values):
+        return np.zeros(1, np.uint64)
+    often = np.searchsorted(common, values, side="right") > np.searchsorted(common, values)
+    most = len(values) - int(np.ceil(similarity * len(values) - 1e-6)) + 1
+    return values[np.argsort(often, kind="stable")][:most]
+
+
+def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that ``OFTEN`` or more of about ``SAMPLED`` texts hold, sorted; the ``LISTED`` most frequent at most.
+
+    They only come last in the order of ``prefix``, which is right whatever they are: the sample costs no pair.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffer(batch.column(0))
+            raw = data.tobytes()
+            held = [np.unique(hashed(shingles_of(raw[off[i] : off[i + 1]], shingle))) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    share = max(1, rows.count() // SAMPLED)
+    held = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInArrow(of, "h long")
+    often = held.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(LISTED).collect()
+    return np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
+
+
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of their first column those whose value occurs twice or more."""
+    last, told = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        same = key[1:] == key[:-1]
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        if last is not None and last.column(0)[0].as_py() == key[0]:
+            keep[0] = True
+            if not told:
+                yield last
+        yield batch.filter(pa.array(keep))
+        last, told = batch.slice(batch.num_rows - 1), bool(keep[-1])
+
+
+def prefix_links(nodes: DataFrame, names: list[str], most: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect all pairs of ``nodes(node, keys, f0, ..)`` that share a key and differ in ``most`` bits.
+
+    Most keys are one text's own: keys and nodes alone are dealt first, and fingerprints only go where keys meet.
+    """
+    total = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select(F.explode("keys").alias("key"), "node").repartition(max(parts, -(-total // TASK_ROWS)), "key")
+    met = staged(rows.sortWithinPartitions("key").mapInArrow(repeated, "key long, node long"), "met")
+    tasks = max(parts, -(-met.count() // TASK_ROWS))
+    probes = met.join(nodes.select("node", *names), "node").select("key", F.col("node").alias("component"), F.lit(-1).alias("side"), *names)
+    return bucket_links(probes, met.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), tasks, names, 0, 64, most)
+
+
+def similar_groups(docs: DataFrame, shingle: int, similarity: float, count: int, most: int) -> DataFrame:
     """``(doc_id, component_id)`` for every row: groups linked by Jaccard ``similarity`` or more of shingle sets.
 
-    Fingerprints only find candidates, as in ``near_duplicates``, here over distinct texts; each is then compared
-    exactly (``verified``).
+    Candidates are distinct texts that share a shingle of their prefixes, as all pairs of ``similarity`` do, and whose
+    ``count`` fingerprints differ in ``most`` bits together; each is then compared exactly (``verified``).
     """
     names = [f"f{i}" for i in range(count)]
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit(""))).alias("same"))
+    common = common_shingles(rows, shingle)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffer(batch.column(1))
-            raw, values = data.tobytes(), np.zeros((batch.num_rows, count), np.uint64)
+            raw, values, keys = data.tobytes(), np.zeros((batch.num_rows, count), np.uint64), []
             for i in range(batch.num_rows):
-                values[i] = fingerprint(raw[off[i] : off[i + 1]], shingle, count)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(off)), *(pa.array(values[:, j].astype(np.int64)) for j in range(count))], names=["doc_id", "same", "bytes", *names])
-
-    prints = staged(rows.mapInArrow(of, "doc_id long, same string, bytes long, " + ", ".join(f"{x} long" for x in names)), "prints")
-    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"), *(F.max(x).alias(x) for x in names))
+                shingles = shingles_of(raw[off[i] : off[i + 1]], shingle)
+                first = hashed(shingles)
+                keys.append(prefix(first, common, similarity))
+                if shingles:
+                    values[i] = [majority(first), *(majority(hashed(shingles, SEED + j)) for j in range(1, count))]
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(off)), lists, *(pa.array(values[:, j].astype(np.int64)) for j in range(count))], names=["doc_id", "same", "bytes", "keys", *names])
+
+    prints = staged(rows.mapInArrow(of, "doc_id long, same string, bytes long, keys array<long>, " + ", ".join(f"{x} long" for x in names)), "prints")
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"), F.first("keys").alias("keys"), *(F.max(x).alias(x) for x in names))
     nodes = staged(nodes.where("node is not null"), "nodes")
-    groups = fingerprint_groups(nodes, tau, count, most, probed)
-    several = staged(groups.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "several")
-    shared = looked_up(groups, several, ["component"], ["node"]).where("nodes is not null").select("node", "component")
+    shared = connected_components(prefix_links(nodes, names, most))
     members = staged(nodes.select("node", "same", "bytes").join(shared, "node"), "shared")
     parents = connected_components(verified(rows, members, shingle, similarity))
-    known = staged(nodes.join(parents, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")), "known")
+    known = staged(nodes.select("node", "same").join(parents, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")), "known")
     return looked_up(prints.select("doc_id", "same"), known, ["same"], ["doc_id"]).select("doc_id", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 14, count: int = 3, probed: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, count: int = 3) -> DataFrame:
     """``docs`` with one row (the smallest doc_id) of each group of near-duplicates.
 
-    Three fingerprints of independent hashes are probed, each within ``tau`` of its 64 bits, and candidates are
-    looked at over all bits: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)), so the share of
-    differing bits estimates j. A candidate may look less similar than ``similarity`` by three and a half standard
+    Texts whose shingle sets have ``similarity`` share a shingle of their prefixes; those that do are looked at over the
+    bits of three fingerprints of independent hashes: shingle sets of Jaccard similarity j have angle arccos(2j / (1 + j)),
+    so the share of differing bits estimates j. A candidate may look less similar than ``similarity`` by three and a half standard
     deviations, so that hardly any pair is lost here; it is a duplicate only if the whole shingle sets have ``similarity`` or more, exactly.
     Groups are closed transitively. Null texts and texts without words are equal. Of rows that repeat a doc_id one
     stays; rows with a null doc_id all stay. Very long texts are compared whole; an empty table stays empty; all
@@ -507,7 +590,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     bits = 64 * count
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(bits * share + 3.5 * np.sqrt(bits * share * (1 - share)))
-    found = staged(similar_groups(docs, shingle, similarity, tau, count, most, probed), "groups")
+    found = staged(similar_groups(docs, shingle, similarity, count, most), "groups")
     gone = staged(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
     twice = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     left = docs.join(F.broadcast(gone) if fits(gone) else gone, "doc_id", "left_anti")

@@ -159,6 +159,80 @@ def test_near_dedup_finds_pairs_at_the_threshold(spark):
     assert simhash.keep_one_of_each(docs).count() == 300
 
 
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - int(rng.integers(0, n // 5 + 1))], rng.integers(0, 1 << 63, n // 6).astype(np.uint64)])
+        common = np.sort(rng.choice(a, int(rng.integers(0, n + 1)), replace=False))
+        p, q = simhash.prefix(np.concatenate([a, a]), common, 0.8), simhash.prefix(b, common, 0.8)
+        assert len(p) <= 0.2 * n + 1.001
+        assert jaccard(set(a.tolist()), set(b.tolist())) < 0.8 or set(p.tolist()) & set(q.tolist())
+    assert simhash.prefix(np.zeros(0, np.uint64), common, 0.8).tolist() == [0]
+
+
+def test_rows_with_repeated_keys():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    for most in (1, 2, 7):
+        key = np.sort(rng.integers(0, 60, 80))
+        cuts = np.cumsum(rng.integers(0, most + 1, 200))
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(np.arange(a, min(b, 80)))], names=["key", "node"]) for a, b in zip([0, *cuts], [*cuts, 80]) if a <= 80]
+        got = [x for batch in simhash.repeated(iter(batches)) for x in batch.column(1).to_pylist()]
+        assert got == [i for i, k in enumerate(key) if (key == k).sum() > 1]
+
+
+def test_unlike_texts_meet_in_no_bucket(spark, monkeypatch):
+    """However many texts there are: what is moved and compared doesn't grow with the square of the corpus."""
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 30))) for i in range(2000)], "doc_id long, text string")
+    moved, staged = {}, simhash.staged
+
+    def noted(df, name):
+        moved.setdefault(name, []).append((out := staged(df, name)).count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", noted)
+    monkeypatch.setattr(simhash, "CHUNK", 2)
+    assert simhash.keep_one_of_each(docs).count() == 2000
+    assert sum(moved["large"]) == 0 and sum(moved["met"]) == 0
+
+
+def test_common_shingles_and_dealt_buckets(spark, monkeypatch):
+    """One line in every text, groups of near copies around it, buckets dealt in chunks: as brute force."""
+    rng = np.random.default_rng(4)
+    line = [f"line{i}" for i in range(12)]
+    texts = []
+    for g in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 120)]
+        texts += [" ".join([*edited(rng, base, s), *line]) for s in [1, *rng.uniform(0.86, 1, 30 if g == 3 else 3)]]
+    texts += [" ".join(line), " ".join(line[:9]), " ".join(line + line), "", " ", "x", "x ", "X"]
+    sets = shingle_sets(texts)
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    want = brute_components(len(texts), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    common = simhash.common_shingles(docs, 5)
+    assert 0 < len(common) and len(simhash.prefix(simhash.hashed(simhash.shingles_of(" ".join(line).encode(), 5)), common, 0.8))
+    for chunk in (5, 1024):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, 5, 0.8, 3, 46).collect()}
+        assert [got[i] for i in range(len(texts))] == [want[i] for i in range(len(texts))]
+
+
+def test_shuffles_go_when_their_table_is_written(spark):
+    from time import sleep
+
+    from terrastack.llm.staging import staged
+
+    files = lambda: {f.getName() for f in (x for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if f.getName().startswith("shuffle_")}
+    before = files()
+    out = staged(spark.range(1000).repartition(3, "id"), "freed")
+    sleep(1)  # they are removed in the background, but long before the driver collects its garbage
+    assert not files() - before and out.count() == 1000
+
+
 def test_exact_check_in_chunks(spark):
     """Every pair of a component is compared, also across chunks, by shingle sets without repeats."""
     rng = np.random.default_rng(7)
