@@ -98,6 +98,20 @@ def test_items_meet_units_by_their_own_geometry(spark):
     assert spatial.item_shards(items, units, 0.5).count() == len(got)
 
 
+def test_items_without_bounds_meet_all_units_in_many_tasks(spark, monkeypatch):
+    items = spark.range(40).select(F.col("id").alias("item_id"), *(F.lit(None).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")), F.create_map(F.lit("a"), F.lit("b")).alias("assets"))
+    units = spark.range(70).select(F.lit(32636).alias("epsg"), F.col("id").alias("shard_y"), F.lit(0).alias("shard_x"), *(F.lit(float(x)).alias(c) for x, c in enumerate(("sminx", "sminy", "smaxx", "smaxy"))), F.lit("é" * 9).alias("name"))
+    want = sorted((i, j) for i in range(40) for j in range(70))
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 100)
+    few = spatial.item_shards(items, units, 3.0).select("item_id", "shard_y")
+    assert few.rdd.getNumPartitions() == 28 and max(few.rdd.glom().map(len).collect()) <= 210
+    assert sorted(map(tuple, few.collect())) == want
+    monkeypatch.setattr(spatial, "UNITS_BYTES", 70 * (32 + 7 * 16 + 32 + 18) - 1)  # one byte less than they have: by shuffle
+    many = spatial.item_shards(items, units, 3.0).select("item_id", "shard_y")
+    assert "BroadcastNestedLoop" not in many._jdf.queryExecution().toString() and sorted(map(tuple, many.collect())) == want
+    assert spatial.item_shards(items.where("item_id < 0"), units, 3.0).count() == 0
+
+
 def test_blob_links(spark):
     links = ["https://acc.blob.core.windows.net/box/a/b.tif?sig=1", "https://example.org/box/a", "nothing"]
     df = spark.createDataFrame([(x,) for x in links], "href string")
