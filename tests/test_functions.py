@@ -112,6 +112,14 @@ def test_items_without_bounds_meet_all_units_in_many_tasks(spark, monkeypatch):
     assert spatial.item_shards(items.where("item_id < 0"), units, 3.0).count() == 0
 
 
+def test_pairs_of_items_without_bounds_are_written_small(spark, tmp_path):
+    items = spark.range(200).select(F.col("id").cast("string").alias("item_id"), *(F.lit(None).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")))
+    units = spark.range(8000).select(F.col("id").cast("int").alias("shard_y"), *(F.lit(0.0).alias(c) for c in ("sminx", "sminy", "smaxx", "smaxy")))
+    spatial.item_shards(items, units, 3.0).select("item_id", "shard_y").write.parquet(path := str(tmp_path / "pairs"))
+    assert spark.read.parquet(path).agg(F.count(F.lit(1)), F.countDistinct("item_id", "shard_y")).first() == (1_600_000, 1_600_000)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 400_000  # item by item a shard takes 13 bits
+
+
 def test_blob_links(spark):
     links = ["https://acc.blob.core.windows.net/box/a/b.tif?sig=1", "https://example.org/box/a", "nothing"]
     df = spark.createDataFrame([(x,) for x in links], "href string")
